@@ -29,17 +29,18 @@ MAP_LITERAL_LIMIT = 50_000
 
 # --------------------------------------------------------------- quantiles
 
-def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5,
+def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5, finite_only: bool = True,
                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> dict[str, float | None]:
-    """Exact linear-interpolated quantile of each column over finite values.
+    """Exact linear-interpolated quantile of each column over finite values
+    (``finite_only=False``: over all non-missing values, infinities included).
 
     Distinct (feature, value, count) rows get exact positions from a bucketed
     running count; the one or two values covering index (N-1)*prob are picked
     by a filter and an aggregate. No value list is gathered in one buffer.
     """
     lf = long_form(df.select(*[F.col(q(c)) for c in cols], F.lit(0).alias("_id")), cols, "_id")
-    lf = lf.where(is_finite(F.col("value")))
-    distinct = lf.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    present = is_finite(F.col("value")) if finite_only else (F.col("value").isNotNull() & ~F.isnan("value"))
+    distinct = lf.where(present).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     pos = exact_position(distinct, ["feature"], ["value"], weight_col="n", pos_col="_below",
                          total_col="_n", rows_per_bucket=rows_per_bucket)
     idx = (F.col("_n") - 1).cast("double") * F.lit(float(prob))
@@ -53,7 +54,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5,
                    F.first(idx - lo).alias("frac")))
     out = {c: None for c in cols}
     for r in picked.collect():
-        out[r["feature"]] = r["v_lo"] + r["frac"] * (r["v_hi"] - r["v_lo"])
+        out[r["feature"]] = r["v_lo"] if r["frac"] == 0 or r["v_hi"] == r["v_lo"] else \
+            r["v_lo"] + r["frac"] * (r["v_hi"] - r["v_lo"])
     return out
 
 
@@ -82,9 +84,10 @@ def most_frequent(df: DataFrame, cols: list[str], as_string: bool = False) -> di
 # ----------------------------------------------------------------- imputers
 
 def fill_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Whole-table lenient-numeric cast + exact median fill (runs before any split)."""
+    """Whole-table lenient-numeric cast + exact median fill (runs before any split).
+    Infinities count as values here, as in a plain column median."""
     d = df.select(*[to_numeric(F.col(q(c))).alias(c) if c in cols else F.col(q(c)) for c in df.columns])
-    med = exact_median(d, cols)
+    med = exact_median(d, cols, finite_only=False)
     return d.select(*[F.coalesce(F.col(q(c)), F.lit(med[c]).cast("double")).alias(c) if c in cols
                       else F.col(q(c)) for c in d.columns])
 

@@ -192,4 +192,4 @@ def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """Order-insensitive content hash: (n_rows, sum of 52-bit md5 row hashes as DECIMAL)."""
     row_text = F.concat_ws("|", *[F.coalesce(F.col(q(c)).cast("string"), F.lit("\\N")) for c in cols])
     h = F.conv(F.substring(F.md5(row_text), 1, 13), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("decimal(38,0)").alias("content_hash"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("decimal(38,0)").cast("string").alias("content_hash"))
