@@ -86,3 +86,51 @@ def exact_position(df: DataFrame, group_cols: list[str], order_cols: list[str |
     counts = counts.drop("_bw")
     d = d.join(counts, on=part, how="left")
     return d.withColumn(pos_col, F.col("_off") + F.col("_run")).drop("_w", "_run", "_off", "_bucket")
+
+
+def sorted_neighbors(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, k: int,
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, prefix: str = "_nb",
+                     max_group: int | None = None) -> DataFrame:
+    """Values of the k preceding and k following rows in sort order, per group.
+
+    Adds ``{prefix}_p1..pk`` (previous) and ``{prefix}_n1..nk`` (next) plus
+    ``_pos`` and ``_n``. Rows are numbered exactly (bucketed running count),
+    cut into blocks of ``rows_per_bucket`` positions, and the k rows on each
+    side of a block boundary are copied into the neighbouring block as halo
+    rows, so lag/lead inside (group, block) windows is exact while no window
+    partition exceeds one block.
+    """
+    size = max(rows_per_bucket, 2 * k + 1)
+    biggest = max_group if max_group is not None else max_group_size(df, group_cols)
+    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(biggest / max(1, rows_per_bucket)))))
+    pos = exact_position(df, group_cols, order_cols, pos_col="_pos", total_col="_n",
+                         rows_per_bucket=rows_per_bucket, buckets=buckets)
+    if biggest <= size:
+        w = Window.partitionBy(*group_cols).orderBy("_pos")
+        out = pos
+        for j in range(1, k + 1):
+            out = out.withColumn(f"{prefix}_p{j}", F.lag(value_col, j).over(w)) \
+                     .withColumn(f"{prefix}_n{j}", F.lead(value_col, j).over(w))
+        return out
+    blk = F.floor(F.col("_pos") / F.lit(size)).cast("bigint")
+    off = F.col("_pos") % F.lit(size)
+    base = pos.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
+    nxt = base.where((off >= F.lit(size - k)) & (F.col("_pos") + 1 < F.col("_n"))) \
+        .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True))
+    prv = base.where((off < F.lit(k)) & (F.col("_blk") > 0)) \
+        .withColumn("_blk", F.col("_blk") - 1).withColumn("_halo", F.lit(True))
+    allrows = base.unionByName(nxt).unionByName(prv)
+    w = Window.partitionBy(*group_cols, "_blk").orderBy("_pos")
+    out = allrows
+    for j in range(1, k + 1):
+        out = out.withColumn(f"{prefix}_p{j}", F.lag(value_col, j).over(w)) \
+                 .withColumn(f"{prefix}_n{j}", F.lead(value_col, j).over(w))
+    return out.where(~F.col("_halo")).drop("_blk", "_halo")
+
+
+def max_group_size(df: DataFrame, group_cols: list[str]) -> int:
+    if group_cols:
+        row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("m")).first()
+    else:
+        row = df.agg(F.count(F.lit(1)).alias("m")).first()
+    return int((row["m"] or 0) if row else 0)

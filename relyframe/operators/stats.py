@@ -121,11 +121,26 @@ def gram_pairwise(df: DataFrame, cols: list[str], shift: np.ndarray | None = Non
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Pearson matrix, pairwise-complete; NaN where a variance is zero."""
+    """Pearson matrix, pairwise-complete; NaN where a variance is zero.
+
+    Two passes over a persisted projection: counts + means, then the Gram
+    of mean-shifted columns (shifting keeps the sums from cancelling).
+    """
     p = len(cols)
-    mu = column_means(df, cols)
-    if _complete(df, cols):
-        n, s, g = gram_complete(df, cols, mu)
+    d = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]).persist()
+    try:
+        row = d.agg(F.count(F.lit(1)).alias("_all"), *[F.count(F.col(q(c))).alias(f"n_{i}") for i, c in enumerate(cols)],
+                    *[F.avg(F.col(q(c))).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+        mu = np.array([row[f"m_{i}"] if row[f"m_{i}"] is not None else 0.0 for i in range(p)])
+        complete = all(row[f"n_{i}"] == row["_all"] for i in range(p))
+        if complete:
+            n, s, g = gram_complete(d, cols, mu)
+        else:
+            nn, si, qi, gij = gram_pairwise(d, cols, mu)
+    finally:
+        pass
+    if complete:
+        d.unpersist()
         if n == 0:
             return np.full((p, p), np.nan)
         cov = g / n - np.outer(s, s) / (n * n)
@@ -134,7 +149,7 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
             den = np.sqrt(np.outer(var, var))
             r = np.where(den > 0, cov / np.where(den > 0, den, 1.0), np.nan)
         return np.clip(r, -1.0, 1.0)
-    nn, si, qi, gij = gram_pairwise(df, cols, mu)
+    d.unpersist()
     sj = si.T
     qj = qi.T
     with np.errstate(invalid="ignore", divide="ignore"):
