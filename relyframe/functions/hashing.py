@@ -43,3 +43,9 @@ def hash_order(seed: int, purpose: str, *keys: Column | str) -> Column:
 def hash_order_sql(seed: int, purpose: str, *key_sql: str) -> str:
     parts = " || '|' || ".join([f"'{seed}'", f"'{purpose}'"] + [f"CAST({k} AS VARCHAR)" for k in key_sql])
     return f"CAST(('0x' || substr(md5({parts}), 1, 13)) AS BIGINT)"
+
+
+def uniform_of(seed: int, *parts: Column) -> Column:
+    """Uniform [0, 1) from md5 of ``seed|part...`` where parts are columns."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(TWO_52)

@@ -1 +1,220 @@
-"""Queries."""
+"""Reliance proofs (R1-R7, A7, A8, A15, T2-T4, C7) over a univariate-OLS
+model class: one least-squares model of the order quantity per feature,
+fitted on the train split and scored on the test split."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relyframe.functions.hashing import hash_order_sql, uniform, uniform_sql
+from relyframe.functions.labels import MCR_LABELS, MI_LABELS, label_table, labels_sql, map_labels
+from relyframe.operators import mcr as R
+from relyframe.operators.clean import add_random_feature
+from relyframe.operators.stats import column_means, gram_complete
+from relyframe.plans.catalog import register, rounded
+from relyframe.plans.q_split import SPLIT_SQL, split_frame
+
+SEED = 42
+FEATS = ["o_totalprice", "c_acctbal", "n_items", "sum_price", "avg_disc", "avg_tax", "random_feature"]
+Y = "sum_qty"
+
+
+def reliance_frame(spark: SparkSession, sf: str) -> DataFrame:
+    sp = split_frame(spark, sf)
+    return add_random_feature(sp, SEED).select("row_id", "split", F.col(Y).alias("y"),
+                                               *[F.col(f).cast("double").alias(f) for f in FEATS]).persist()
+
+
+def univariate_ols(train: DataFrame, feats: list[str], y: str = "y") -> dict[str, tuple[float, float]]:
+    """{feature: (intercept, slope)} for y ~ a + b x, all from one shifted Gram."""
+    cols = [*feats, y]
+    mu = column_means(train, cols)
+    n, s, g = gram_complete(train, cols, mu)
+    cov = g / n - np.outer(s, s) / (n * n)
+    out = {}
+    p = len(feats)
+    for j, f in enumerate(feats):
+        b = cov[j, p] / cov[j, j] if cov[j, j] > 0 else 0.0
+        mx, my = mu[j] + s[j] / n, mu[p] + s[p] / n
+        out[f] = (my - b * mx, b)
+    return out
+
+
+def long_test(rf: DataFrame, split: str = "test") -> DataFrame:
+    return rf.where(F.col("split") == split).select("row_id", "y", *FEATS).unpivot(["row_id", "y"], FEATS, "feature", "x")
+
+
+def coef_table(spark, coefs):
+    return spark.createDataFrame([(f, float(a), float(b)) for f, (a, b) in coefs.items()], "feature string, a double, b double")
+
+
+def _metrics(long: DataFrame, coefs: DataFrame) -> DataFrame:
+    p = long.join(F.broadcast(coefs), "feature").withColumn("p", F.col("a") + F.col("b") * F.col("x"))
+    ybar = long.groupBy("feature").agg(F.avg("y").alias("ybar"))
+    e = F.col("y") - F.col("p")
+    return p.join(ybar, "feature").groupBy("feature").agg(
+        (F.lit(1.0) - F.sum(e * e) / F.sum((F.col("y") - F.col("ybar")) ** 2)).alias("r2"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
+
+
+def results_table(spark: SparkSession, sf: str):
+    rf = reliance_frame(spark, sf)
+    coefs = univariate_ols(rf.where(F.col("split") == "train"), FEATS)
+    ct = coef_table(spark, coefs)
+    te = _metrics(long_test(rf, "test"), ct)
+    tr = _metrics(long_test(rf, "train"), ct).select("feature", F.col("r2").alias("train_r2"))
+    res = te.join(tr, "feature").select(
+        F.concat(F.lit("ols_"), F.col("feature")).alias("model"), F.lit("univariate").alias("feature_set"),
+        F.lit(1).alias("n_features"), F.lit("{}").alias("best_params"), "train_r2",
+        F.col("r2").alias("test_r2"), F.col("rmse").alias("test_rmse"), F.col("mae").alias("test_mae"),
+        "feature", F.col("mse").alias("e_orig"))
+    return rf, ct, res
+
+
+_BASE = "WITH " + SPLIT_SQL + f""",
+rf AS (SELECT row_id, split, sum_qty AS y, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATS if f != 'random_feature')},
+       {uniform_sql(SEED, 'random_feature', 'row_id')} AS random_feature FROM sp),
+lt AS (UNPIVOT (SELECT row_id, split, y, {', '.join(FEATS)} FROM rf) ON {', '.join(FEATS)} INTO NAME feature VALUE x),
+coef AS (SELECT feature, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM lt WHERE split = 'train' GROUP BY feature),
+pr AS (SELECT lt.*, a + b * x AS p FROM lt JOIN coef USING (feature)),
+yb AS (SELECT feature, split, avg(y) AS ybar FROM lt GROUP BY ALL),
+met AS (SELECT feature, split, 1.0 - sum((y - p) * (y - p)) / sum((y - ybar) * (y - ybar)) AS r2,
+               sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse
+        FROM pr JOIN yb USING (feature, split) GROUP BY ALL),
+res AS (SELECT 'ols_' || t.feature AS model, 'univariate' AS feature_set, 1 AS n_features, '{{}}' AS best_params,
+               tr.r2 AS train_r2, t.r2 AS test_r2, t.rmse AS test_rmse, t.mae AS test_mae, t.feature, t.mse AS e_orig
+        FROM met t JOIN met tr ON t.feature = tr.feature AND tr.split = 'train' WHERE t.split = 'test'),
+rash AS (SELECT * FROM res WHERE test_r2 >= (SELECT max(test_r2) FROM res) - 0.01),
+te AS (SELECT * FROM pr WHERE split = 'test'),
+ri AS (SELECT feature, row_id, y, a, b, row_number() OVER (PARTITION BY feature ORDER BY row_id) AS r
+       FROM te JOIN coef USING (feature)),
+rh AS (SELECT feature, x AS xp, row_number() OVER (PARTITION BY feature ORDER BY
+         CAST(('0x' || substr(md5('{SEED}|perm|' || feature || '|' || CAST(row_id AS VARCHAR)), 1, 13)) AS BIGINT), row_id) AS r FROM te),
+perm AS (SELECT ri.feature, ri.row_id, ri.y, a + b * rh.xp AS p FROM ri JOIN rh USING (feature, r)),
+eperm AS (SELECT feature, avg((y - p) * (y - p)) AS e_perm FROM perm GROUP BY feature),
+mr AS (SELECT res.model, res.feature_set, res.feature, e_perm / e_orig AS mr FROM res JOIN eperm USING (feature)),
+mcr AS (SELECT feature, min(mr) AS mcr_min, max(mr) AS mcr_max FROM mr WHERE model IN (SELECT model FROM rash) GROUP BY feature)
+"""
+
+_RES_COLS = ("model, feature_set, n_features, best_params, round(train_r2, 6) AS train_r2, round(test_r2, 6) AS test_r2, "
+             "round(test_rmse, 6) AS test_rmse, round(test_mae, 6) AS test_mae")
+
+
+def _res(res):
+    return rounded(res.select("model", "feature_set", "n_features", "best_params", "train_r2", "test_r2",
+                              "test_rmse", "test_mae"))
+
+
+@register("ols_coefficients", _BASE + " SELECT feature, round(a, 6) AS intercept, round(b, 6) AS slope FROM coef")
+def q_ols(spark: SparkSession, sf: str):
+    rf = reliance_frame(spark, sf)
+    c = univariate_ols(rf.where(F.col("split") == "train"), FEATS)
+    return rounded(spark.createDataFrame([(f, float(a), float(b)) for f, (a, b) in c.items()],
+                                         "feature string, intercept double, slope double"))
+
+
+@register("regression_metrics", _BASE + f" SELECT {_RES_COLS} FROM res")
+def q_metrics(spark: SparkSession, sf: str):
+    return _res(results_table(spark, sf)[2])
+
+
+@register("rashomon_r2", _BASE + f" SELECT {_RES_COLS} FROM rash")
+def q_rash_r2(spark: SparkSession, sf: str):
+    return _res(R.rashomon_set(results_table(spark, sf)[2], "r2", 0.01))
+
+
+@register("rashomon_rmse", _BASE + f" SELECT {_RES_COLS} FROM res WHERE test_rmse <= (SELECT min(test_rmse) FROM res) * 1.1")
+def q_rash_rmse(spark: SparkSession, sf: str):
+    return _res(R.rashomon_set(results_table(spark, sf)[2], "rmse", 0.10))
+
+
+@register("best_model", _BASE + f" SELECT {_RES_COLS} FROM res ORDER BY test_r2 DESC, model LIMIT 1")
+def q_best(spark: SparkSession, sf: str):
+    return _res(R.best_model(results_table(spark, sf)[2], "test_r2"))
+
+
+@register("top_models", _BASE + f" SELECT {_RES_COLS} FROM res ORDER BY test_r2 DESC, model LIMIT 3")
+def q_top(spark: SparkSession, sf: str):
+    res = results_table(spark, sf)[2]
+    return _res(res.orderBy(F.desc("test_r2"), "model").limit(3))
+
+
+@register("permute_column", _BASE + " SELECT ri.row_id, rh.xp AS sum_price FROM ri JOIN rh USING (feature, r) "
+          "WHERE ri.feature = 'sum_price'")
+def q_permute(spark: SparkSession, sf: str):
+    rf = reliance_frame(spark, sf).where(F.col("split") == "test").select("row_id", "sum_price")
+    return R.permute_column(rf, "sum_price", SEED, "perm|sum_price")
+
+
+def reliance_table(spark: SparkSession, sf: str):
+    rf, ct, res = results_table(spark, sf)
+    te = rf.where(F.col("split") == "test")
+    coefs = {r["feature"]: (r["a"], r["b"]) for r in ct.collect()}
+    parts = None
+    for f in FEATS:
+        pf = R.permute_column(te.select("row_id", "y", f), f, SEED, f"perm|{f}")
+        a, b = coefs[f]
+        e = pf.agg(F.avg((F.col("y") - (F.lit(a) + F.lit(b) * F.col(f))) ** 2).alias("e_perm")) \
+            .select(F.lit(f).alias("feature"), "e_perm")
+        parts = e if parts is None else parts.unionByName(e)
+    mr = res.join(parts, "feature").select("model", "feature_set", "feature",
+                                           (F.col("e_perm") / F.col("e_orig")).alias("mr"))
+    return res, mr
+
+
+@register("model_reliance", _BASE + " SELECT model, feature_set, feature, round(mr, 6) AS mr FROM mr")
+def q_mr(spark: SparkSession, sf: str):
+    return rounded(reliance_table(spark, sf)[1])
+
+
+def mcr_table(spark: SparkSession, sf: str) -> DataFrame:
+    res, mr = reliance_table(spark, sf)
+    rash = R.rashomon_set(res, "r2", 0.01).select("model")
+    return R.mcr_intervals(mr.join(rash, "model", "left_semi"))
+
+
+@register("mcr_intervals", _BASE + " SELECT feature, round(mcr_min, 6) AS mcr_min, round(mcr_max, 6) AS mcr_max FROM mcr")
+def q_mcr(spark: SparkSession, sf: str):
+    return rounded(mcr_table(spark, sf))
+
+
+@register("mcr_classes", _BASE + """ SELECT feature, round(mcr_min, 6) AS mcr_min, round(mcr_max, 6) AS mcr_max,
+  CASE WHEN mcr_min > 1.0 THEN 'necessary' WHEN mcr_min < 1.0 THEN 'redundant' ELSE 'neither' END AS class FROM mcr""")
+def q_classes(spark: SparkSession, sf: str):
+    return rounded(R.classify_reliance(mcr_table(spark, sf)))
+
+
+@register("mcr_top10", _BASE + f""", lab AS (SELECT * FROM {labels_sql(MCR_LABELS)})
+  SELECT feature, round(mcr_min, 6) AS mcr_min, round(mcr_max, 6) AS mcr_max, coalesce(name, feature) AS display
+  FROM (SELECT * FROM mcr ORDER BY mcr_min DESC, mcr_max DESC, feature LIMIT 10) LEFT JOIN lab ON feature = code""")
+def q_top10(spark: SparkSession, sf: str):
+    return rounded(R.top_reliance(mcr_table(spark, sf), 10, label_table(spark, MCR_LABELS)))
+
+
+@register("map_labels", "WITH " + SPLIT_SQL + f""", lab AS (SELECT * FROM {labels_sql(MI_LABELS)}),
+  codes AS (SELECT DISTINCT 'cat__' || r_name AS code0 FROM sp UNION ALL SELECT 'num__random_feature' UNION ALL SELECT 'num__latitude')
+  SELECT code0 AS feature, coalesce(name, code0) AS display FROM codes LEFT JOIN lab ON code0 = code""")
+def q_map_labels(spark: SparkSession, sf: str):
+    sp = split_frame(spark, sf)
+    codes = sp.select(F.concat(F.lit("cat__"), F.col("r_name")).alias("feature")).distinct() \
+        .unionByName(spark.createDataFrame([("num__random_feature",), ("num__latitude",)], "feature string"))
+    return map_labels(codes, "feature", label_table(spark, MI_LABELS))
+
+
+# --------------------------------------------------- Spark ML reliance (rows)
+
+@register("permutation_importance")
+def q_perm_importance(spark: SparkSession, sf: str):
+    """Decision tree fitted with CrossValidator, then every feature permuted on
+    the test split: all copies scored by one transform, one groupBy."""
+    from relyframe.operators.models import cv_spark_ml, spark_ml_predict
+    rf = reliance_frame(spark, sf)
+    train, test = rf.where(F.col("split") == "train"), rf.where(F.col("split") == "test")
+    model, params, _ = cv_spark_ml(train, FEATS, "y", "Decision Tree")
+    pred = lambda d: spark_ml_predict(model, d, FEATS, [c for c in d.columns])
+    base = spark_ml_predict(model, test, FEATS, ["row_id", "y"])
+    e0 = base.agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
+    losses = R.permutation_losses(test.select("row_id", "y", *FEATS), FEATS, "y", pred, SEED, 1)
+    return rounded(R.model_reliance(e0, losses))
