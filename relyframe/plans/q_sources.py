@@ -1 +1,99 @@
-"""Queries."""
+"""Source / sink proofs (S1-S8, U1, J1, F14, F15): round trips through the
+shared checkpoint folder (never a machine-local path on a cluster)."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from relyframe.operators.clean import assemble_features, partition_features
+from relyframe.operators.encode import Preprocessor
+from relyframe.plans.catalog import register, rounded
+from relyframe.plans.frame import FF_SQL, standard_frame
+from relyframe.plans.q_split import SPLIT_SQL, split_frame
+from relyframe.session import scratch_path
+from relyframe.sources import (load_boxcox_params, read_table, save_boxcox_params, table_path, write_split,
+                               write_table)
+
+_CSV_COLS = "row_id BIGINT, o_totalprice DOUBLE, c_acctbal DOUBLE, n_items BIGINT, o_orderstatus STRING, r_name STRING"
+
+
+@register("src_csv_roundtrip", "WITH " + FF_SQL + "SELECT row_id, o_totalprice, c_acctbal, n_items, o_orderstatus, r_name FROM ff")
+def q_csv(spark: SparkSession, sf: str):
+    ff = standard_frame(spark, sf).select("row_id", "o_totalprice", "c_acctbal", "n_items", "o_orderstatus", "r_name")
+    path = write_table(ff, scratch_path(spark, "csv"), "csv")
+    return read_table(spark, path, "csv", schema=_CSV_COLS)
+
+
+@register("src_pruned", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_pruned(spark: SparkSession, sf: str):
+    return read_table(spark, table_path(sf, "orders"), columns=["o_orderkey", "o_totalprice"])
+
+
+@register("split_persisted", "WITH " + SPLIT_SQL + "SELECT split, CAST(count(*) AS BIGINT) AS n, sum(sum_qty) AS total_qty FROM sp GROUP BY split")
+def q_split_persisted(spark: SparkSession, sf: str):
+    path = write_split(split_frame(spark, sf).select("row_id", "sum_qty", "split"), scratch_path(spark, "split"))
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("sum_qty").alias("total_qty"))
+
+
+@register("residual_dataset", "WITH " + SPLIT_SQL + "SELECT split, CAST(count(*) AS BIGINT) AS n FROM sp GROUP BY split")
+def q_residual(spark: SparkSession, sf: str):
+    """Full-feature (building + hazard + random) encoded set, persisted by split."""
+    sp = split_frame(spark, sf)
+    cols = ["o_totalprice", "c_acctbal", "n_items", "o_orderstatus", "r_name"]
+    pre = Preprocessor().fit(sp.where(F.col("split") == "train"), cols)
+    enc = pre.transform(sp, keep=["row_id", "split"])
+    _, residual = assemble_features(pre.feature_names(), ["r_name"], keep_hazard=False)
+    path = write_split(enc.select("row_id", "split", *residual), scratch_path(spark, "residual"))
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("boxcox_params", "WITH " + __import__("relyframe.plans.q_encode", fromlist=["_LLF_SQL"])._LLF_SQL
+          + "SELECT round(lam, 6) AS lambda, round(o, 6) AS offset FROM fit")
+def q_boxcox_params(spark: SparkSession, sf: str):
+    from relyframe.plans.q_encode import grid_fit
+    _, lam, off = grid_fit(spark, sf)
+    path = save_boxcox_params(spark, lam, off, scratch_path(spark, "boxcox"))
+    lam2, off2 = load_boxcox_params(spark, path)
+    return rounded(spark.createDataFrame([(lam2, off2)], "lambda double, offset double"))
+
+
+@register("union_whole", "WITH " + SPLIT_SQL + "SELECT row_id, split, sum_qty FROM sp")
+def q_union(spark: SparkSession, sf: str):
+    sp = split_frame(spark, sf).select("row_id", "split", "sum_qty").persist()
+    return sp.where("split = 'train'").unionByName(sp.where("split = 'test'"))
+
+
+@register("align_raw_target", "WITH " + SPLIT_SQL + "SELECT sp.row_id, sp.split, ff.sum_qty AS y_raw FROM sp JOIN ff USING (row_id)")
+def q_align_target(spark: SparkSession, sf: str):
+    sp = split_frame(spark, sf).select("row_id", "split")
+    raw = standard_frame(spark, sf).select("row_id", F.col("sum_qty").alias("y_raw"))
+    return sp.join(raw, "row_id", "inner")
+
+
+_ENC_NAMES = ["num__o_totalprice", "num__c_acctbal", "num__n_items", "cat__o_orderstatus", "cat__r_name", "random_feature"]
+
+
+@register("feature_groups", "SELECT * FROM (VALUES ('num__o_totalprice', 'building'), ('num__c_acctbal', 'building'), "
+          "('num__n_items', 'building'), ('cat__o_orderstatus', 'building'), ('cat__r_name', 'hazard'), "
+          "('random_feature', 'random')) t(feature, grp)")
+def q_groups(spark: SparkSession, sf: str):
+    sp = split_frame(spark, sf)
+    pre = Preprocessor().fit(sp.where(F.col("split") == "train"), ["o_totalprice", "c_acctbal", "n_items", "o_orderstatus", "r_name"])
+    names = pre.feature_names() + ["random_feature"]
+    hz, rnd, bld = partition_features(names, ["r_name"])
+    rows = [(f, "hazard") for f in hz] + [(f, "random") for f in rnd] + [(f, "building") for f in bld]
+    return spark.createDataFrame(rows, "feature string, grp string")
+
+
+@register("feature_assembly", "SELECT * FROM (VALUES ('num__o_totalprice', 'main'), ('num__c_acctbal', 'main'), "
+          "('num__n_items', 'main'), ('cat__o_orderstatus', 'main'), ('random_feature', 'main'), "
+          "('cat__o_orderstatus', 'residual'), ('cat__r_name', 'residual'), ('num__c_acctbal', 'residual'), "
+          "('num__n_items', 'residual'), ('num__o_totalprice', 'residual'), ('random_feature', 'residual')) t(feature, feature_set)")
+def q_assembly(spark: SparkSession, sf: str):
+    sp = split_frame(spark, sf)
+    pre = Preprocessor().fit(sp.where(F.col("split") == "train"), ["o_totalprice", "c_acctbal", "n_items", "o_orderstatus", "r_name"])
+    main, residual = assemble_features(pre.feature_names() + ["random_feature"], ["r_name"])
+    rows = [(f, "main") for f in main] + [(f, "residual") for f in residual]
+    return spark.createDataFrame(rows, "feature string, feature_set string")
