@@ -16,8 +16,9 @@ SEED = 42
 
 def split_frame(spark: SparkSession, sf: str) -> DataFrame:
     """FF rows with a target, rare classes dropped, stratified 80/20 split."""
-    ff = drop_missing(standard_frame(spark, sf), ["sum_qty"])
-    return S.stratified_split(S.drop_rare_classes(ff, "sum_qty"), "sum_qty", 0.2, SEED)
+    ff = drop_missing(standard_frame(spark, sf), ["sum_qty"]).persist()
+    # reused by every fit-on-train action downstream: persist once
+    return S.stratified_split(S.drop_rare_classes(ff, "sum_qty"), "sum_qty", 0.2, SEED).persist()
 
 
 SPLIT_SQL = FF_SQL + f""",

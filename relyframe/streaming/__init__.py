@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analysed pipeline has no streams, watermarks or state, so nothing here
+is a streaming operator of its own. Every fitted transform in this package
+(imputers, scaler, encoders, Box-Cox, linear predictions) is a projection of
+column expressions, so it applies unchanged to a ``readStream`` DataFrame:
+
+    pre = Preprocessor().fit(train, cols)
+    scored = pre.transform(spark.readStream.schema(s).parquet(path), keep=["row_id"])
+"""
