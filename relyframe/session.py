@@ -43,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
     (local tests) a private folder is created and registered.
     """
+    # let AQE coalesce / re-plan the output of persisted frames as well
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
