@@ -183,3 +183,38 @@ def test_ross_mi_matches_brute_force(spark):
     want = max(0.0, _psi(keep.sum()) + np.mean([_psi(v) for v in kk[keep]]) - np.mean([_psi(v) for v in lc[keep]])
                - np.mean([_psi(v) for v in cnt]))
     assert abs(res["n_items"] - want) < 1e-9
+
+
+def test_ksg_mi_matches_brute_force(spark):
+    from relyframe.functions.hashing import uniform
+    from relyframe.operators import mi as M
+    from relyframe.plans.frame import standard_frame
+    ff = standard_frame(spark, SF).where("sum_qty is not null")
+    got = M.mi_scores(ff, ["o_totalprice"], "sum_qty", 1, 42, discrete={"o_totalprice": False}).first()["mi"]
+    pdf = ff.select("row_id", "o_totalprice", "sum_qty").toPandas()
+    ids = spark.createDataFrame(pdf[["row_id"]])
+    u = ids.select("row_id", uniform(42, "mi_y", F.lit(0), F.col("row_id")).alias("uy"),
+                   uniform(42, "mi_x", F.lit("o_totalprice"), F.lit(0), F.col("row_id")).alias("ux")) \
+        .toPandas().set_index("row_id").loc[pdf.row_id]
+    x = pdf.o_totalprice.to_numpy(float); y = pdf.sum_qty.to_numpy(float)
+    x = x / x.std(); y = y / y.std()
+    x = x + 1e-10 * max(1.0, np.abs(x).mean()) * (u.ux.to_numpy() - 0.5)
+    y = y + 1e-10 * max(1.0, np.abs(y).mean()) * (u.uy.to_numpy() - 0.5)
+    d = np.maximum(np.abs(x[:, None] - x[None]), np.abs(y[:, None] - y[None])); np.fill_diagonal(d, np.inf)
+    r = np.sort(d, axis=1)[:, 2]
+    nx = (np.abs(x[:, None] - x[None]) < r[:, None]).sum(1) - 1
+    ny = (np.abs(y[:, None] - y[None]) < r[:, None]).sum(1) - 1
+    want = max(0.0, _psi(len(x)) + _psi(3) - np.mean([_psi(v + 1) for v in nx]) - np.mean([_psi(v + 1) for v in ny]))
+    assert abs(got - want) < 1e-9
+
+
+def test_sf001_fixture_values(spark):
+    from relyframe.operators.assoc import cramers_v
+    from relyframe.operators.stats import spearman_matrix
+    from relyframe.sources import load
+    o = load(spark, SF01, "orders")
+    chi2 = {(a, b): c for a, b, c, _ in cramers_v(o, ["o_orderstatus", "o_orderpriority"])}
+    assert abs(chi2[("o_orderstatus", "o_orderpriority")] - 3.931597) < 1e-6
+    d = o.select(F.col("o_orderkey").alias("row_id"), "o_totalprice",
+                 F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("o_orderdate"))
+    assert abs(spearman_matrix(d, ["o_totalprice", "o_orderdate"])[0, 1] - 0.010991) < 5e-7
