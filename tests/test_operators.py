@@ -218,3 +218,20 @@ def test_sf001_fixture_values(spark):
     d = o.select(F.col("o_orderkey").alias("row_id"), "o_totalprice",
                  F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("o_orderdate"))
     assert abs(spearman_matrix(d, ["o_totalprice", "o_orderdate"])[0, 1] - 0.010991) < 5e-7
+
+
+def test_plans_have_no_single_partition_exchange(spark):
+    """Row-scale grouped operators must not collapse onto one partition."""
+    from relyframe.operators.encode import exact_quantiles
+    from relyframe.operators.ordered import exact_position
+    from relyframe.operators.stats import average_rank_table
+    from relyframe.plans.frame import standard_frame
+    ff = standard_frame(spark, SF).where("sum_qty is not null")
+    plans = [average_rank_table(ff, ["o_totalprice", "c_acctbal"], rows_per_bucket=100),
+             exact_position(ff, ["r_name"], ["o_totalprice", "row_id"], rows_per_bucket=100)]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in text
+    # parquet scans are pruned to the columns used
+    scan = standard_frame(spark, SF).select("row_id", "o_totalprice")._jdf.queryExecution().executedPlan().toString()
+    assert "o_comment" not in scan
