@@ -205,3 +205,22 @@ def q_boxcox_clamp(spark: SparkSession, sf: str):
     pred = boxcox(F.col("sum_qty"), lam, off) * 3.0 - 40.0
     cl = clamp_boxcox_domain(pred, lam)
     return rounded(ef.select("row_id", cl.alias("pred_clamped"), inv_boxcox(cl, lam, off).alias("pred_orig")))
+
+
+@register("neg_mse_original", "WITH " + _LLF_SQL + f""",
+zt AS (SELECT row_id, split, sum_price, {_bc('sum_qty')} AS z FROM ef, fit),
+cf AS (SELECT regr_intercept(z, sum_price) AS a, regr_slope(z, sum_price) AS b FROM zt WHERE split = 'train'),
+pr AS (SELECT z, a + b * sum_price AS pred FROM zt, cf WHERE split = 'test')
+SELECT round(max(fit.lam), 6) AS lambda, round(-avg(({_inv('z')} - {_inv(_CL)}) * ({_inv('z')} - {_inv(_CL)})), 6) AS neg_mse
+FROM pr, fit""")
+def q_neg_mse_original(spark: SparkSession, sf: str):
+    """-MSE on the original scale of a model fitted on the Box-Cox target:
+    prediction clamped into the inverse's domain, truth inverted exactly."""
+    from relyframe.operators.mcr import neg_mse_original
+    from relyframe.plans.q_mcr import univariate_ols
+    ef, lam, off = grid_fit(spark, sf)
+    d = ef.withColumn("z", boxcox(F.col("sum_qty"), lam, off))
+    a, b = univariate_ols(d.where(F.col("split") == "train").select("z", "sum_price"), ["sum_price"], "z")["sum_price"]
+    te = d.where(F.col("split") == "test")
+    v = neg_mse_original(te, "z", F.lit(a) + F.lit(b) * F.col("sum_price"), lam, off)
+    return rounded(spark.createDataFrame([(lam, v)], "lambda double, neg_mse double"))
