@@ -43,8 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
     (local tests) a private folder is created and registered.
     """
-    # let AQE coalesce / re-plan the output of persisted frames as well
-    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+    # When shuffle partitions far outnumber the cores (an untuned default of
+    # 200 on a small input), let AQE coalesce the output of persisted frames
+    # too; with partitions sized to the cluster the re-planning only costs.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if parts > 4 * spark.sparkContext.defaultParallelism:
+        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
