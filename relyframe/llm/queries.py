@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import bpe, chat
+from relyframe.llm import bpe, chat, decontaminate, pii, quality, substring_dedup, suffix_dedup
 from relyframe.llm.common import documents
 
 QUERIES: dict = {}
@@ -50,3 +50,29 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and(ok) AND bool_or(is_last AND role = 'assistant') AS valid,
        min(place) FILTER (NOT ok) AS bad_turn
 FROM m GROUP BY conv_id"""
+
+
+@query
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir)).drop("k1", "k2")
+
+
+@query
+def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir)).select(
+        "doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_passages(documents(spark, sf_dir))
