@@ -85,19 +85,20 @@ def format_conversations(conversations: DataFrame, template: Template = TEMPLATE
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     moves = F.create_map(*[F.lit(x) for s, by in template.moves.items() for r, to in by.items()
                            for x in (f"{s}\n{r}", to)])
+    def move(at: Column, role: Column) -> Column:
+        return F.coalesce(F.try_element_at(moves, F.concat(at, F.lit("\n"), role)), F.lit(""))  # "": rejected, for good
+
     state = F.aggregate(
         "turns",
         F.struct(F.lit(template.start).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("bad")),
         lambda s, t: F.struct(
-            F.try_element_at(moves, F.concat(s["at"], F.lit("\n"), t["role"])).alias("at"),
+            move(s["at"], t["role"]).alias("at"),
             (s["n"] + 1).alias("n"),
-            F.when(s["bad"].isNotNull(), s["bad"])
-             .when(F.try_element_at(moves, F.concat(s["at"], F.lit("\n"), t["role"])).isNull(), s["n"])
-             .alias("bad")))
+            F.when(s["bad"].isNotNull(), s["bad"]).when(move(s["at"], t["role"]) == "", s["n"]).alias("bad")))
     return whole.select(
         "conv_id", F.flatten(F.transform("turns", lambda t: t["segments"])).alias("segments"), state.alias("s"),
     ).select("conv_id", "segments",
-             (F.col("s.bad").isNull() & F.coalesce(F.col("s.at").isin(*template.final), F.lit(False))).alias("valid"),
+             (F.col("s.bad").isNull() & F.col("s.at").isin(*template.final)).alias("valid"),
              F.col("s.bad").alias("bad_turn"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import bpe, chat, decontaminate, pii, quality, substring_dedup, suffix_dedup
+from relyframe.llm import (bpe, chat, decontaminate, jaccard, pii, quality, substring_dedup,
+                            suffix_dedup, token_store)
 from relyframe.llm.common import documents
+from relyframe.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +78,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_passages(documents(spark, sf_dir))
+
+
+@query
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    token_store.write_store(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_store(spark, path)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(documents(spark, sf_dir))
