@@ -34,7 +34,7 @@ BLOCK_BYTES = (1 << 20, 1 << 23)
 BUCKET_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
 
-BLOCK = "blk long, doc_ids binary, null_ids binary, lens binary, blob binary"
+BLOCK = "blk long, doc_ids binary, null_ids binary, k1 binary, k2 binary, lens binary, blob binary"
 REQUEST = "kind int, bucket long, blk long, keys binary, vals binary"
 ANSWER = "blk long, kind int, bucket long, tie binary, other binary, entries long, lists long"
 
@@ -76,6 +76,7 @@ class Docs:
         self.blk, self.blob = row["blk"], row["blob"]
         self.ids = np.frombuffer(row["doc_ids"], np.int64)
         self.nulls = np.frombuffer(row["null_ids"], bool)
+        self.k1, self.k2 = np.frombuffer(row["k1"], np.int64), np.frombuffer(row["k2"], np.int64)
         self.lens = np.frombuffer(row["lens"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lens + 1)))[:-1].astype(np.int64)
         self.raw = np.frombuffer(self.blob, np.uint8)
@@ -164,7 +165,7 @@ def _answer(key, table):
 
 
 def write_blocks(docs: DataFrame) -> Blocks:
-    """Pack (doc_id, text) into blocks, in a table under the shared folder bucketed by block."""
+    """Pack documents into blocks, in a table under the shared folder bucketed by block."""
     spark = docs.sparkSession
     rows = id_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -173,15 +174,17 @@ def write_blocks(docs: DataFrame) -> Blocks:
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 32
-        for ids, texts in chunks(batches, limit=size):
+        for ids, k1, k2, texts in chunks(batches, ("doc_id", "k1", "k2", "text"), size):
             data = [t.encode("utf-8") for t in texts]
             number += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()),
                  pa.array([np.array([i is None for i in ids]).tobytes()], pa.binary()),
+                 pa.array([np.array(k1, np.int64).tobytes()], pa.binary()),
+                 pa.array([np.array(k2, np.int64).tobytes()], pa.binary()),
                  pa.array([np.array([len(d) for d in data], np.int64).tobytes()], pa.binary()),
                  pa.array([b"\n".join(data) + b"\n"], pa.binary())],
-                ["blk", "doc_ids", "null_ids", "lens", "blob"])
+                ["blk", "doc_ids", "null_ids", "k1", "k2", "lens", "blob"])
 
     name = f"blocks_{uuid.uuid4().hex}"
     (rows.mapInArrow(pack, BLOCK).write.format("parquet").option("compression", "zstd")

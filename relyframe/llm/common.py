@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -24,9 +24,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """k1, k2: 128 bits that stand for a row's id and text; rows that share them are alike for every operator."""
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
+
+
 def id_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, whatever other columns the table has; null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    """doc_id, k1, k2 and text, whatever other columns the table has; null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

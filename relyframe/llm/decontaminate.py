@@ -36,7 +36,7 @@ WINDOW = 13
 BLOCK_CHARS = 2_000_000
 #: Windows of test items that are broadcast and searched at once (about 150 bytes each).
 WINDOW_BLOCK = 200_000
-INDEX = "row long, doc_ids binary, null_ids binary, n_words binary, terms binary, bounds binary, positions binary"
+INDEX = "row long, doc_ids binary, null_ids binary, k1 binary, k2 binary, n_words binary, terms binary, bounds binary, positions binary"
 
 
 def build_index(docs: DataFrame, path: str) -> DataFrame:
@@ -44,14 +44,14 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for ids, texts in chunks(batches, limit=BLOCK_CHARS):
+        for ids, k1, k2, texts in chunks(batches, ("doc_id", "k1", "k2", "text"), BLOCK_CHARS):
             w = Words(*encoded(texts), word=ALNUM, lower=True)
             place = np.arange(len(w.hash)) + w.doc * WINDOW
             order = np.argsort(w.hash, kind="stable")
             h = w.hash[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             own = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]),
-                   w.count.astype(np.int64), h[first], np.append(first, len(h)).astype(np.uint32),
+                   np.array(k1, np.int64), np.array(k2, np.int64), w.count.astype(np.int64), h[first], np.append(first, len(h)).astype(np.uint32),
                    place[order].astype(np.uint32)]
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in own]],
@@ -244,7 +244,7 @@ def matches(index: DataFrame, items: DataFrame, size: int = WINDOW, slop: int |
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """doc_id, k1, k2, n_words, n_hit, n_items, items_sha256, contaminated.
 
     With one block of windows, one pass over the index gives the result.
     With more, each block's matches are gathered by index row and joined to
@@ -262,11 +262,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         *[F.array_join(F.collect_list(F.hex(c)), "").alias(c) for c in ("doc", "place", "size")],
         F.flatten(F.collect_list("item")).alias("item"))
     gathered = gathered.select("row", *[F.coalesce(F.unhex(c), F.lit(b"")).alias(c) for c in ("doc", "place", "size")], "item")
-    return index.select("row", "doc_ids", "null_ids", "n_words").join(gathered, "row", "left").mapInArrow(_verdicts, VERDICT)
+    return index.select("row", *DOCS).join(gathered, "row", "left").mapInArrow(_verdicts, VERDICT)
 
 
-HITS = "row long, doc_ids binary, null_ids binary, n_words binary, doc binary, place binary, size binary, item array<string>"
-VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+DOCS = ["doc_ids", "null_ids", "k1", "k2", "n_words"]
+HITS = "row long, doc_ids binary, null_ids binary, k1 binary, k2 binary, n_words binary, doc binary, place binary, size binary, item array<string>"
+VERDICT = "doc_id long, k1 long, k2 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _hits(shared):
@@ -279,7 +280,7 @@ def _hits(shared):
             own, place = q.phrases(block)
             doc = np.searchsorted(block.first, place, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["row"]]), *[pa.array([row[c]], pa.binary()) for c in ("doc_ids", "null_ids", "n_words")],
+                [pa.array([row["row"]]), *[pa.array([row[c]], pa.binary()) for c in DOCS],
                  *[pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (doc, place, q.n[own])],
                  pa.array([[q.items[i] for i in own]], pa.list_(pa.string()))],
                 [c.split()[0] for c in HITS.split(", ")])
@@ -300,7 +301,8 @@ def _verdicts(batches):
             if item is not None:
                 found[d].add(item)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=nulls), pa.array(n_words), pa.array(n_hit.astype(np.int64)),
+            [pa.array(ids, mask=nulls), *[pa.array(np.frombuffer(row[c], np.int64)) for c in ("k1", "k2", "n_words")],
+             pa.array(n_hit.astype(np.int64)),
              pa.array([len(f) for f in found], pa.int64()),
              pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found], pa.string()),
              pa.array((n_hit > 0) & (20 * n_hit >= n_words))], [c.split()[0] for c in VERDICT.split(", ")])

@@ -45,7 +45,7 @@ PERCENT = 80
 #: Largest sets that may send subsets; the boundary is chosen below it by cost.
 LIGHT_MAX = 14
 PREFIX, SUBSET, SET, DOC = 0, 1, 2, 3
-ROW = "doc_id long, node long, n int, key long, size int, data binary, kind int"
+ROW = "doc_id long, k1 long, k2 long, node long, n int, key long, size int, data binary, kind int"
 
 
 def need(n, percent: int = PERCENT):
@@ -128,7 +128,8 @@ def signatures(blocks: Blocks, answers: DataFrame, size: int, percent: int, ligh
         k, d = len(out[0]), len(docs.ids)
         none = pa.nulls(d, pa.int64())
         return pa.table([
-            pa.concat_arrays([docs.id_array().cast(pa.int64()), pa.nulls(k, pa.int64())]),
+            *[pa.concat_arrays([x.cast(pa.int64()), pa.nulls(k, pa.int64())])
+              for x in (docs.id_array(), pa.array(docs.k1), pa.array(docs.k2))],
             pa.concat_arrays([pa.array(nodes), pa.array(out[0], pa.int64())]),
             pa.concat_arrays([pa.array(s.n.astype(np.int32)), pa.array(out[1], pa.int32())]),
             pa.concat_arrays([none, pa.array(out[2], pa.int64())]),
@@ -245,7 +246,10 @@ def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, light: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (documents with the same set), by row of ``docs``."""
+    """doc_id, k1, k2, n_shingles, component_id, n_copies (documents with the same set), component, by row of ``docs``.
+
+    ``component`` is null for empty sets.
+    """
     spark: SparkSession = docs.sparkSession
     blocks = write_blocks(docs)
     answers = blocks.answer(blocks.ask(lambda d: Sets(d, size).first_pass()))
@@ -256,13 +260,14 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     small = _written(light_links(rows, percent), "light-links")
     links = small.unionByName(heavy_links(rows, small, percent))
     comp = components(links)
-    own = rows.where(F.col("kind") == DOC).select("doc_id", "node", "n")
+    own = rows.where(F.col("kind") == DOC).select("doc_id", "k1", "k2", "node", "n")
     per = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     per = per.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = per.groupBy("comp").agg(F.min("least").alias("component_id"))
-    per = per.join(least, "comp").select("node", "component_id", "n_copies")
+    per = per.join(least, "comp").select("node", "component_id", "n_copies", "comp")
     alone = F.col("n") == 0
     return own.join(per, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"))
+        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.col("comp").alias("component"))

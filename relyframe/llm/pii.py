@@ -24,10 +24,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import ALNUM, Words, chunks, encoded, mix
+from relyframe.llm.common import ALNUM, Words, chunks, encoded, id_text, mix, row_keys
 from relyframe.session import scratch_path
 
 KINDS = ("email", "ip", "card", "phone")
@@ -149,16 +149,8 @@ FOUND = "doc_id long, k1 long, k2 long, " + ", ".join(f"n_{k} long" for k in KIN
     f", base_sha256 string, base string, near array<{SPAN}>"
 
 
-def row_keys(text: Column, doc_id: Column) -> list[Column]:
-    """128 bits that stand for a row's id and text; rows that share them get the same spans."""
-    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
-
-
 def detect(docs: DataFrame) -> DataFrame:
     """One row for each document: keys, counts, base spans, and the terms near its entities."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), *row_keys(text, doc_id), text.alias("text"))
 
     def run(batches):
         for ids, k1, k2, texts in chunks(batches, ("doc_id", "k1", "k2", "text")):
@@ -178,7 +170,7 @@ def detect(docs: DataFrame) -> DataFrame:
                  pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base), pa.array(near, kind)],
                 [c.split()[0] for c in FOUND.split(", ")])
 
-    return rows.mapInArrow(run, FOUND)
+    return id_text(docs).mapInArrow(run, FOUND)
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
@@ -286,10 +278,9 @@ def _general(term: str) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns, texts rewritten (and n_chars, where there is such a column); null stays null."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = spans(docs).where(F.col("spans") != "").groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
     found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    k1, k2 = row_keys(text, F.col("doc_id").cast("long"))
+    k1, k2 = row_keys(docs)
     keyed = docs.withColumns({"__k1": k1, "__k2": k2}).join(found, ["__k1", "__k2"], "left")
 
     @F.pandas_udf("string")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relyframe.llm import (bpe, chat, decontaminate, jaccard, pii, quality, substring_dedup,
-                            suffix_dedup, token_store)
+                            suffix_dedup, token_store, toxicity)
 from relyframe.llm.common import documents
 from relyframe.session import scratch_path
 
@@ -67,7 +67,8 @@ def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(documents(spark, sf_dir), items).drop("k1", "k2")
 
 
 @query
@@ -89,4 +90,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(documents(spark, sf_dir))
+    return jaccard.join_components(documents(spark, sf_dir)).drop("k1", "k2", "component")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents(spark, sf_dir), labels).drop("k1", "k2")
