@@ -7,7 +7,8 @@ position that fixed the state?" is an associative scan (a running maximum
 over transition functions that are either constant or the identity), run
 forward or backward over the whole array. Pieces are slices of the UTF-8
 bytes; each distinct piece is merged once, all new pieces of a chunk
-together, and kept in a bounded cache.
+together, and kept in a bounded cache under a 64-bit hash of its bytes and
+length.
 
 Null text is empty: no ids. Repeated rows give repeated results.
 """
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from relyframe.llm.common import chunks, id_text
+from relyframe.llm.common import Rolling, byte_values, chunks, id_text
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points of Unicode's White_Space property.
@@ -33,7 +34,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: What may follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Entries kept in a worker's piece cache before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 #: Pieces over this many bytes are merged one at a time with a heap.
 LONG_PIECE = 48
 NONE = np.uint32(0xFFFFFFFF)
@@ -215,27 +216,85 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
+class PieceCache:
+    """Ids of pieces by 64-bit hash: an open-addressing table and one pool of ids, both numpy arrays."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.mask = (1 << (5 * limit // 2).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.mask + 1, np.uint64)
+        self.at = np.zeros(self.mask + 1, np.uint32)
+        self.n = np.zeros(self.mask + 1, np.uint32)
+        self.pool, self.used, self.size = np.zeros(4 * self.limit, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        key = self.key[slot]
+        left = np.flatnonzero(key != h)
+        slot[left[key[left] == 0]] = -1
+        left = left[key[left] != 0]
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            key = self.key[slot[left]]
+            slot[left[key == 0]] = -1
+            left = left[(key != h[left]) & (key != 0)]
+        return slot
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New distinct hashes and their ids."""
+        raw = np.frombuffer(b"".join(ids), "<u4")
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        if self.used + len(raw) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(raw), len(self.pool)), np.uint32)))
+        at = self.used + np.cumsum(n) - n
+        self.pool[self.used:self.used + len(raw)] = raw
+        self.used, self.size = self.used + len(raw), self.size + len(h)
+        slot, left = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.key[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.key[slot[own]], self.at[slot[own]], self.n[slot[own]] = h[own], at[own], n[own]
+            left = left[self.key[slot[left]] != h[left]]
+            slot[left] = slot[left] + 1 & self.mask
+
+    def ids(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slots one after another, how many each has)."""
+        n = self.n[slot].astype(np.int64)
+        place = np.repeat(self.at[slot].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.pool[place], n
+
+
 class Encoder:
     """Chunk-wise encoder. ``merge`` gives the ids of new pieces; the cache starts anew when it is full."""
 
     def __init__(self, merge, limit: int = CACHE_PIECES):
-        self.merge, self.limit, self.cache = merge, limit, {}
+        self.merge, self.cache = merge, PieceCache(limit)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
-        """(ids of all texts, bounds of each text's ids, UTF-8 bytes, byte offset where each id's piece ends)."""
+        """(ids of all texts, bounds of each text's ids, UTF-8 bytes, bounds of the pieces in bytes)."""
         blob, bounds, doc = slices(texts)
-        edge = bounds.tolist()
-        pieces = [blob[a:b] for a, b in zip(edge, edge[1:])]
-        cache = self.cache
-        fresh = [p for p in set(pieces) if p not in cache]
-        if len(cache) + len(fresh) > self.limit:
-            cache.clear()
-            fresh = list(set(pieces))
-        cache.update(zip(fresh, self.merge(fresh)))
-        found = [cache[p] for p in pieces]
-        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ends = np.concatenate(([0], np.cumsum(count)))
-        return np.frombuffer(b"".join(found), "<u4"), ends[doc], blob, np.repeat(bounds[1:], count)
+        cache, start = self.cache, bounds[:-1]
+        h = Rolling(byte_values(np.frombuffer(blob, np.uint8))).windows(start, np.diff(bounds))
+        h[h == 0] = 1
+        slot = cache.find(h)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            if cache.size + len(first) > cache.limit:
+                cache = self.cache = PieceCache(max(cache.limit, len(h))) if len(h) > cache.limit else cache
+                cache.clear()
+                new = np.arange(len(h))
+                _, first = np.unique(h, return_index=True)
+            own = new[first]
+            cache.add(h[own], self.merge([blob[a:b] for a, b in zip(start[own].tolist(), bounds[own + 1].tolist())]))
+            slot[new] = cache.find(h[new])
+        ids, n = cache.ids(slot)
+        return ids, np.concatenate(([0], np.cumsum(n)))[doc], blob, bounds
 
 
 @lru_cache(4)

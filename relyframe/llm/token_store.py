@@ -35,6 +35,8 @@ from relyframe.session import scratch_path
 
 LIMIT = 16
 STRIDE = 512
+#: Pieces that are given to the library at once.
+RUN = 2_000
 #: Tokens in a block; a longer document is a block of its own.
 BLOCK_TOKENS = 500_000
 BLOCK = "part int, first long, doc_ids binary, null_ids binary, counts binary, n long, bits binary, checkpoints binary"
@@ -55,12 +57,31 @@ class Library:
                        and pre.get("use_regex", True) and not pre.get("add_prefix_space", True))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.encoder = Encoder(self._merge)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.width = np.zeros(self.size, np.int64)  # bytes of each id: a character of its name stands for a byte
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
-        return [x.tobytes() for x in self._whole([p.decode("utf-8") for p in pieces])]
+        """Ids of each piece. Pieces that are a blank and something else are given to the library in
+        runs: it splits them before each blank, so the ids' byte lengths tell where pieces end."""
+        texts = [p.decode("utf-8") for p in pieces]
+        out = [b""] * len(pieces)
+        run = [i for i, t in enumerate(texts) if t[0] == " " and len(t) > 1 and not t.isspace()]
+        own = set(run)
+        rest = [i for i in range(len(pieces)) if i not in own]
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
+            out[i] = ids.tobytes()
+        groups = [run[k:k + RUN] for k in range(0, len(run), RUN)]
+        for group, ids in zip(groups, self._whole(["".join([texts[i] for i in g]) for g in groups])):
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(pieces[i]) for i in group])) + 1
+            raw, lo = ids.tobytes(), 0
+            for i, hi in zip(group, (4 * ends).tolist()):
+                out[i], lo = raw[lo:hi], hi
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.pieces:
@@ -79,15 +100,20 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+def id_type(path: str, end_id: int) -> str:
+    """16 bits an id where the vocabulary allows it."""
+    return "<u2" if max(library(path).size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids: little-endian 32-bit ids of each text and the end id."""
+    """doc_id, ids: little-endian ids (of ``id_type``) of each text and the end id."""
+    kind = id_type(path, end_id)
 
     def run(batches):
-        lib, end = library(path), np.array([end_id], "<u4").tobytes()
+        lib, end = library(path), np.array([end_id], kind).tobytes()
         for ids, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x.tobytes() + end for x in lib.encode(texts)], pa.binary())],
-                ["doc_id", "ids"])
+            own = [x.astype(kind).tobytes() + end for x in lib.encode(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], ["doc_id", "ids"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -171,16 +197,14 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) ->
     spark = docs.sparkSession
     at = scratch_path(spark, "token-ids")
     tokenise(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(at)
-    ids = spark.read.parquet(at)
+    ids, kind = spark.read.parquet(at), id_type(vocabulary, end_id)
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(raw, "<u4"))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[:len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
+            n[:len(total)] += total
+            total = n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -197,7 +221,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) ->
 
         book, part, first = Code(*shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            own = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
+            own = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             doc, size = batch.column("doc_id").to_pylist(), np.array([len(x) for x in own], np.int64)
             group = (np.cumsum(size) - size) // BLOCK_TOKENS
             edge = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [len(own)]

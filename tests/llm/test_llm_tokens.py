@@ -40,7 +40,9 @@ def test_pieces_and_merges_equal_the_library():
         own = ids[at[i]:at[i + 1]]
         assert own.tolist() == enc.encode_ordinary(t)
         assert bpe.decode(ranks, own) == t.encode()
-    assert len(ends) == len(ids) and ends[-1] == len(blob)
+    assert ends[0] == 0 and ends[-1] == len(blob)
+    again, _, _, _ = coder.encode(texts[:50] + texts[-3:])  # from the cache, and after it was cleared
+    assert bpe.decode(ranks, again) == "".join(texts[:50] + texts[-3:]).encode()
 
 
 @pytest.mark.parametrize("rows", [ROWS, []], ids=["cases", "empty"])
@@ -56,6 +58,13 @@ def test_encode_and_decode_documents(spark, rows):
         (i, (t or "").encode()) for i, t in rows)
 
 
+def test_library_pieces_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok, lib, texts = Tokenizer.from_file(JSON), token_store.library(JSON), odd_texts()
+    assert [x.tolist() for x in lib.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_code_lengths():
     counts = np.array([1, 1, 2, 4, 8, 16, 32, 64])
     free = token_store.code_lengths(counts, 16)
