@@ -115,8 +115,9 @@ def signatures(blocks: Blocks, answers: DataFrame, size: int, percent: int, ligh
             if n > light:
                 add(node, n, None, None, h.tobytes(), SET)
                 rare = np.lexsort((h, lev))[: n - need(n, percent) + 1]
-                for key in h[rare[lev[rare] > 0]].view(np.int64).tolist():
-                    add(node, n, key, None, None, PREFIX)
+                place = np.flatnonzero(lev[rare] > 0)
+                for at, key in zip(place.tolist(), h[rare[place]].view(np.int64).tolist()):
+                    add(node, n, key, at, None, PREFIX)
             if n <= also:
                 alone = np.flatnonzero(lev == 0).tolist()
                 can = np.flatnonzero(lev > 0).tolist()
@@ -201,10 +202,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def _fits(n, m, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
-
 def light_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links by shared subsets: each member of a bucket with its smallest set, if the subset is enough for both."""
     sub = rows.where(F.col("kind") == SUBSET).select("key", "size", "n", "node").distinct()
@@ -215,31 +212,47 @@ def light_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links by inverted lists, checked; ``known`` are the links that are there already."""
-    lists = rows.where(F.col("kind") == PREFIX).select("key", "n", "node").distinct()
+    """Links by inverted lists, checked; ``known`` are the links that are there already.
+
+    If a shingle is the first in the order of rarity that two sets share, at
+    places i and j of n and m, they share at most min(n - i, m - j). So a set can
+    have partners of at most ``most`` shingles in that list, a bound that is below
+    n itself for all sets but those that are nearly the same. Of two sets that
+    link, at least one has a bound of its own size or more ("open"): pairs
+    without an open set are never made.
+    """
+    lists = rows.where(F.col("kind") == PREFIX).select("key", "n", "node", F.col("size").alias("place")).distinct()
     sets = rows.where(F.col("kind") == SET).groupBy("node").agg(F.first("data").alias("data"))
-    lists = _written(lists.join(lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key",
-                                "left_semi"), "lists")
+    shared = F.expr(f"({100 + percent} * (n - place)) div {percent}")
+    lists = lists.withColumn("most", shared - F.col("n")).withColumn("open", F.col("most") >= F.col("n"))
+    use = lists.groupBy("key").agg(F.count("*").alias("k"), F.count_if("open").alias("o"), F.min("n").alias("least"))
+    lists = lists.join(use.where("k > 1 and o > 0"), "key").where("most >= least").drop("k", "o", "least")
+    lists = _written(lists, "lists")
     sets = _written(sets.join(lists.select("node").distinct(), "node", "left_semi"), "sets")
-    # members against one member of their size class
+    # members against one open member of their size class
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     banded = lists.withColumn("band", band)
-    centre = banded.groupBy("key", "band").agg(F.min(F.struct("node", "n")).alias("c"))
-    star = banded.join(centre, ["key", "band"]).where((F.col("node") != F.col("c.node")) & _fits(F.col("n"), F.col("c.n"), percent))
+    centre = banded.where("open").groupBy("key", "band").agg(F.min(F.struct("node", "n", "most")).alias("c"))
+    star = banded.join(centre, ["key", "band"]).where(
+        (F.col("node") != F.col("c.node")) & (F.col("n") <= F.col("c.most")) & (F.col("c.n") <= F.col("most")))
     tried = _written(star.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "tried")
     links = _written(verified(tried, sets, percent), "links")
-    # members of different components
+    # members of different components: an open one outside the list's largest component with all
+    # others, an open one inside it with those outside
     comp = components(known.unionByName(links))
-    placed = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = _written(placed, "placed")
+    placed = _written(lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    top = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    placed = placed.join(top.select("key", "top"), "key")
-    left = placed.where("comp != top").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "top")
-    pairs = left.join(right, "key").where(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") > F.col("b")))
-        & _fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    top = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    placed = placed.join(top.where("comps > 1").select("key", "top"), "key")
+    left = placed.where("open").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"),
+                                       F.col("comp").alias("ca"), (F.col("comp") == F.col("top")).alias("ta"))
+    right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"),
+                          F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("tb"), F.col("open").alias("ob"))
+    may = (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
+    once = ~F.col("ob") | F.col("tb") | (F.col("a") > F.col("b"))  # a pair of open sets outside comes from both sides
+    outside = left.where("not ta").join(right, "key").where(may & once)
+    inside = left.where("ta").join(right.where("not tb and not ob"), "key").where(may)
+    pairs = outside.select("a", "b").unionByName(inside.select("a", "b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti").join(
         tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     return links.unionByName(verified(pairs, sets, percent))
