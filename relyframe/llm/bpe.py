@@ -34,7 +34,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: What may follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Entries kept in a worker's piece cache before it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 #: Pieces over this many bytes are merged one at a time with a heap.
 LONG_PIECE = 48
 NONE = np.uint32(0xFFFFFFFF)

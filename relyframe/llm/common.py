@@ -14,13 +14,23 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
 #: Characters handled at once inside a task; a longer text is handled alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows that Spark hands to Python at once, and that are turned into Python strings at once.
+BATCH_ROWS, SLICE_ROWS = 2_000, 500
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POW = [np.ones(1, U), np.ones(1, U)]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: let Spark hand them to Python in batches of fewer rows than its default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -32,23 +42,27 @@ def row_keys(docs: DataFrame) -> list[Column]:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 and text, whatever other columns the table has; null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def chunks(batches, columns=("doc_id", "text"), limit: int = CHUNK_CHARS) -> Iterator[tuple[list, ...]]:
     """Lists of column values whose texts (the last column) have about ``limit`` characters."""
+    held, size = [[] for _ in columns], 0
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in columns]
-        lo, size = 0, 0
-        for i, text in enumerate(cols[-1]):
-            n = len(text or "")
-            if i > lo and size + n > limit:
-                yield tuple(c[lo:i] for c in cols)
-                lo, size = i, 0
-            size += n
-        if lo < len(cols[-1]):
-            yield tuple(c[lo:] for c in cols)
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            for row in zip(*[part.column(c).to_pylist() for c in columns]):
+                n = len(row[-1] or "")
+                if size and size + n > limit:
+                    yield tuple(held)
+                    held, size = [[] for _ in columns], 0
+                for values, value in zip(held, row):
+                    values.append(value)
+                size += max(n, 1)
+    if held[0]:
+        yield tuple(held)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
