@@ -47,7 +47,8 @@ def test_held_out_labels_are_not_read(spark):
     other = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t, x) for i, q, t, x in labels]
     a, b = (sorted((r.doc_id, r.score) for r in toxicity.score(table(spark, rows), spark.createDataFrame(x, LABELS)).collect())
             for x in (labels, other))
-    assert a == b
+    assert [i for i, _ in a] == [i for i, _ in b]
+    assert max(abs(x - y) for (_, x), (_, y) in zip(a, b)) < 1e-9  # sums over partitions may differ in their last bits
 
 
 @pytest.mark.parametrize("rows", [corpus(), []], ids=["cases", "empty"])
