@@ -21,15 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relyframe.llm.common import U, chunks, id_text
+from relyframe.llm.common import U, chunks, id_text, release_memory
 from relyframe.session import scratch_path
 
 #: Kinds of keys. FILTER sends 32 bits below the bucket's (a false tie is harmless there), the others 64.
 #: LEAST and DIGEST carry a number with each key and ask whether another block has a smaller one.
 FILTER, EXACT, LEAST, DIGEST = 0, 1, 2, 3
 MANY = 8
-#: Bounds of a block's bytes of text; between them a block is an eighth of an even share of a task.
-BLOCK_BYTES = (1 << 20, 1 << 23)
+#: Bounds of a block's bytes of text; between them a block is a sixteenth of an even share of a task.
+BLOCK_BYTES = (1 << 19, 1 << 23)
 #: Bytes of text for each bucket of keys.
 BUCKET_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -53,9 +53,9 @@ class Blocks:
     def each(self, fn, schema: str, answers: DataFrame | None = None) -> DataFrame:
         """``fn(Docs, Answers)`` gives a pyarrow table for each block; answers are brought to the blocks."""
         if answers is None:
-            return self.table.groupBy("blk").applyInArrow(lambda t: fn(Docs(t), None), schema)
+            return self.table.groupBy("blk").applyInArrow(lambda t: _then_release(fn, Docs(t), None), schema)
         both, buckets = self.table.groupBy("blk").cogroup(answers.groupBy("blk")), self.buckets
-        return both.applyInArrow(lambda left, right: fn(Docs(left), Answers(right, buckets)), schema)
+        return both.applyInArrow(lambda left, right: _then_release(fn, Docs(left), Answers(right, buckets)), schema)
 
     def ask_again(self, fn, answers: DataFrame) -> DataFrame:
         buckets = self.buckets
@@ -68,6 +68,12 @@ class Blocks:
         return requests.sparkSession.read.parquet(path)
 
 
+def _then_release(fn, *args):
+    out = fn(*args)
+    release_memory()
+    return out
+
+
 class Docs:
     """One block: texts as bytes, each followed by a line feed."""
 
@@ -170,7 +176,7 @@ def write_blocks(docs: DataFrame) -> Blocks:
     rows = id_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // (8 * parts))))
+    size = int(min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // (16 * parts))))
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 32

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,14 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers stay for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches, columns=("doc_id", "text"), limit: int = CHUNK_CHARS) -> Iterator[tuple[list, ...]]:
     """Lists of column values whose texts (the last column) have about ``limit`` characters."""
     held, size = [[] for _ in columns], 0
@@ -63,6 +73,8 @@ def chunks(batches, columns=("doc_id", "text"), limit: int = CHUNK_CHARS) -> Ite
                 size += max(n, 1)
     if held[0]:
         yield tuple(held)
+    del held
+    release_memory()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
