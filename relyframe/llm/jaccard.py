@@ -15,11 +15,12 @@ and boundary / t do both.
 
 First of all one pass tells each block which of its shingles occur anywhere
 else. A set with fewer than ceil(t n) such shingles has no partner and takes
-no further part. Within a list no pairs are made: its members are compared
-with one member of each size class, components are formed, and only then
-members of different components are compared: each member outside the list's largest
-component with the others. Links inside a component change nothing, so the
-components are exact.
+no further part. Within a list not all pairs are made: its members are compared
+with one member of each size class, then those outside the list's largest
+component with drawn members of it, and components are formed in between. What
+is left is compared in full: members of different components whose sizes
+and places in the list allow a link. Links inside a component change nothing, so
+the components are exact.
 
 Null and empty texts have an empty set and are alone. Repeated rows are
 copies. A null doc_id takes part; the component's id is the smallest doc_id
@@ -44,6 +45,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Largest sets that may send subsets; the boundary is chosen below it by cost.
 LIGHT_MAX = 14
+#: Rounds in which members of a list try drawn members of its largest component, and draws for different lists.
+ROUNDS, DRAWS = 2, 4
 PREFIX, SUBSET, SET, DOC = 0, 1, 2, 3
 ROW = "doc_id long, k1 long, k2 long, node long, n int, key long, size int, data binary, kind int"
 
@@ -211,6 +214,15 @@ def light_links(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(enough).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
 
 
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists that hold more than one component, with each member's component and the list's largest."""
+    placed = lists.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = _written(placed, "placed")
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    top = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    return placed.join(top.where("comps > 1").select("key", "top"), "key")
+
+
 def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links by inverted lists, checked; ``known`` are the links that are there already.
 
@@ -237,13 +249,22 @@ def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         (F.col("node") != F.col("c.node")) & (F.col("n") <= F.col("c.most")) & (F.col("c.n") <= F.col("most")))
     tried = _written(star.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "tried")
     links = _written(verified(tried, sets, percent), "links")
-    # members of different components: an open one outside the list's largest component with all
-    # others, an open one inside it with those outside
-    comp = components(known.unionByName(links))
-    placed = _written(lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    top = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    placed = placed.join(top.where("comps > 1").select("key", "top"), "key")
+    # most members of a group of near copies link with many of the others: those outside a list's
+    # largest component try some members of it, drawn anew in each round
+    for turn in range(ROUNDS):
+        placed = _placed(lists, known.unionByName(links))
+        draw = F.xxhash64("node", F.pmod("key", F.lit(DRAWS)), F.lit(turn))
+        centre = placed.where("open and comp = top").groupBy("key").agg(
+            F.min(F.struct(draw.alias("draw"), "node", "n", "most")).alias("c"))
+        more = placed.where("comp != top").join(centre, "key").where(
+            (F.col("n") <= F.col("c.most")) & (F.col("c.n") <= F.col("most")))
+        more = more.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+        more = _written(more.join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.unionByName(more)
+        links = links.unionByName(_written(verified(more, sets, percent), "links"))
+    # then all pairs of members of different components that are left: an open one outside the
+    # list's largest component with all others, an open one inside it with those outside
+    placed = _placed(lists, known.unionByName(links))
     left = placed.where("open").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"),
                                        F.col("comp").alias("ca"), (F.col("comp") == F.col("top")).alias("ta"))
     right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"),
