@@ -73,7 +73,7 @@ def label_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
 
 def map_labels(df: DataFrame, col: str, labels: DataFrame, out: str = "display") -> DataFrame:
     """Broadcast left join (the label table is a fixed few dozen rows) + coalesce."""
-    j = df.join(F.broadcast(labels), df[col] == labels.code, "left")
+    j = df.join(labels, df[col] == labels.code, "left")
     return j.withColumn(out, F.coalesce(F.col("name"), F.col(col))).drop("code", "name")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relyframe.functions.hashing import uniform
-from relyframe.functions.missing import is_finite, numeric_columns, to_numeric
+from relyframe.functions.missing import is_finite, to_numeric
 from relyframe.operators.stats import profile, q
 
 
@@ -25,6 +25,15 @@ def low_variation_profile(df: DataFrame, threshold: int = 1) -> DataFrame:
 
 
 def drop_low_variation(df: DataFrame, threshold: int = 1) -> DataFrame:
+    """Keep columns with more than ``threshold`` distinct values.
+
+    For threshold 1 that is min < max, one aggregate without a shuffle of
+    values; other thresholds count distinct values.
+    """
+    if threshold == 1:
+        texts = {c: F.col(q(c)).cast("string") for c in df.columns}
+        row = df.agg(*[(F.min(x) < F.max(x)).alias(f"v{i}") for i, x in enumerate(texts.values())]).first()
+        return df.select(*[F.col(q(c)) for i, c in enumerate(df.columns) if row[f"v{i}"]])
     keep = {r["column"] for r in low_variation_profile(df, threshold).where("keep").collect()}
     return df.select(*[F.col(q(c)) for c in df.columns if c in keep])
 
@@ -104,11 +113,6 @@ def replace_invalid(df: DataFrame, value: float = -100.0, sentinels: list[str] =
     return df.select(*out)
 
 
-def split_target(df: DataFrame, target: str) -> DataFrame:
-    """Lenient-numeric target; rows without one are dropped."""
-    return df.withColumn(target, to_numeric(F.col(q(target)))).where(F.col(q(target)).isNotNull())
-
-
 def filter_finite(df: DataFrame, col: str) -> DataFrame:
     return df.where(is_finite(F.col(q(col))))
 
@@ -144,8 +148,3 @@ def add_random_feature(df: DataFrame, seed: int = 42, id_col: str = "row_id",
 def force_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
     """Cast listed columns to text (NULL stays NULL)."""
     return df.select(*[F.col(q(c)).cast("string").alias(c) if c in cols else F.col(q(c)) for c in df.columns])
-
-
-def numeric_and_string(df: DataFrame) -> tuple[list[str], list[str]]:
-    from relyframe.functions.missing import string_columns
-    return numeric_columns(df), string_columns(df)

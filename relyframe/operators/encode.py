@@ -1,9 +1,8 @@
 """Imputation, scaling, encoding and the Box-Cox fit: fit on train, apply to both.
 
-Every fit returns small parameters (one value per column, one code per
-category); every apply is a single projection of column expressions, so it
-runs inside whole-stage codegen with no shuffle -- on batch or streaming
-DataFrames alike.
+Fits return one value per column, and a table of category codes; an apply
+is a projection of column expressions, plus a join with the code table for
+each ordinal column -- on batch or streaming DataFrames alike.
 """
 
 from __future__ import annotations
@@ -19,22 +18,18 @@ from pyspark.sql import types as T
 
 from relyframe.functions.boxcox import boxcox
 from relyframe.functions.missing import is_finite, to_numeric
-from relyframe.operators.ordered import DEFAULT_ROWS_PER_BUCKET, exact_position
+from relyframe.operators.ordered import exact_position
 from relyframe.operators.stats import long_form, q
-
-# Category tables up to this many entries become literal map expressions;
-# larger ones are applied by a join (AQE decides broadcast from the runtime size).
-MAP_LITERAL_LIMIT = 50_000
+from relyframe.session import scratch_path
 
 
 # --------------------------------------------------------------- quantiles
 
-def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5, finite_only: bool = True,
-                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> dict[str, float | None]:
+def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5, finite_only: bool = True) -> dict[str, float | None]:
     """Exact linear-interpolated quantile of each column over finite values
     (``finite_only=False``: over all non-missing values, infinities included).
 
-    Distinct (feature, value, count) rows get exact positions from a bucketed
+    Distinct (feature, value, count) rows get exact positions from a
     running count; the one or two values covering index (N-1)*prob are picked
     by a filter and an aggregate. No value list is gathered in one buffer.
     """
@@ -42,7 +37,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5, finite_on
     present = is_finite(F.col("value")) if finite_only else (F.col("value").isNotNull() & ~F.isnan("value"))
     distinct = lf.where(present).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     pos = exact_position(distinct, ["feature"], ["value"], weight_col="n", pos_col="_below",
-                         total_col="_n", rows_per_bucket=rows_per_bucket)
+                         total_col="_n")
     idx = (F.col("_n") - 1).cast("double") * F.lit(float(prob))
     lo = F.floor(idx)
     hi = F.ceil(idx)
@@ -139,74 +134,72 @@ def apply_standardizer(x: Column, mean: float, std: float) -> Column:
 
 # ----------------------------------------------------------------- encoders
 
-def fit_categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null categories per column (code = list index).
+def fit_categories(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, code): distinct non-null categories of each column, coded by their sort order.
 
-    The distinct table is counted first; it is brought to the driver only
-    when that count is under ``MAP_LITERAL_LIMIT``.
+    The codes are exact positions over range partitions, and the table is
+    written: its size is known when it is joined, so Spark broadcasts it only
+    if it is small. Any number of categories passes.
     """
+    spark = df.sparkSession
     d = df.select(*[F.col(q(c)).cast("string").alias(c) for c in cols], F.lit(0).alias("_id"))
     cats = d.unpivot(["_id"], cols, "feature", "value").where(F.col("value").isNotNull()) \
         .select("feature", "value").distinct()
-    cats = cats.persist()
-    n = cats.count()
-    if n > MAP_LITERAL_LIMIT:
-        cats.unpersist()
-        raise OverflowError(f"{n} categories: use encode_ordinal_join")
-    out = {c: [] for c in cols}
-    for r in cats.collect():
-        out[r["feature"]].append(r["value"])
-    cats.unpersist()
-    return {c: sorted(v) for c, v in out.items()}
+    coded = exact_position(cats, ["feature"], ["value"], pos_col="code", total_col=None)
+    path = scratch_path(spark, "categories")
+    coded.select("feature", "value", F.col("code").cast("double").alias("code")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def ordinal_expr(x: Column, categories: list[str], unknown: int = -1) -> Column:
-    if not categories:
-        return F.lit(float(unknown))
-    m = F.create_map(*[v for i, cat in enumerate(categories) for v in (F.lit(cat), F.lit(float(i)))])
-    return F.coalesce(F.element_at(m, x.cast("string")), F.lit(float(unknown)))
+def encode_ordinal(df: DataFrame, columns: dict[str, tuple[Column, str]], codes: DataFrame, unknown: float = -1.0) -> DataFrame:
+    """``df`` with a column ``name`` for each ``name: (text, feature)``: the code of the text among the
+    feature's categories, ``unknown`` for others and for missing text. One join a column."""
+    out = df
+    for i, (name, (text, feature)) in enumerate(columns.items()):
+        one = codes.where(F.col("feature") == feature).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+        out = out.withColumn(f"_t{i}", text.cast("string")).join(one, F.col(f"_t{i}") == F.col(f"_v{i}"), "left")
+        out = out.withColumn(name, F.coalesce(F.col(f"_c{i}"), F.lit(float(unknown)))).drop(f"_t{i}", f"_v{i}", f"_c{i}")
+    return out
 
 
-def onehot_exprs(c: str, x: Column, categories: list[str], prefix: str = "cat__") -> list[Column]:
-    return [(x.cast("string") == F.lit(v)).cast("double").alias(f"{prefix}{c}_{v}") for v in categories]
+def category_list(codes: DataFrame, feature: str) -> list[str]:
+    """The categories of one feature in code order (they become columns of a one-hot table)."""
+    return [r["value"] for r in codes.where(F.col("feature") == feature).orderBy("code").select("value").collect()]
 
 
-def encode_ordinal_join(df: DataFrame, train: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:
-    """Ordinal codes for very wide category sets: codes by a window over the
-    distinct table, applied by a join (no driver round trip)."""
-    from pyspark.sql import Window
-    d = train.select(*[F.col(q(c)).cast("string").alias(c) for c in cols], F.lit(0).alias("_id"))
-    cats = d.unpivot(["_id"], cols, "feature", "value").where(F.col("value").isNotNull()) \
-        .select("feature", "value").distinct()
-    codes = cats.withColumn("code", (F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
-                            .cast("double"))
-    out = df
-    for c in cols:
-        cc = codes.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        out = out.join(cc, out[q(c)].cast("string") == cc[f"_v_{c}"], "left") \
-            .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1.0))).drop(f"_v_{c}", f"_c_{c}")
-    return out
+def onehot_exprs(c: str, x: Column, categories: list[str], prefix: str = "cat__") -> list[Column]:
+    """A 0/1 column for each category; unknown and missing values are all zeros."""
+    return [F.coalesce((x.cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{prefix}{c}_{v}")
+            for v in categories]
 
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Whole-table label encoding of the text form; missing becomes the text 'nan'."""
     filled = df.select(*[F.coalesce(F.col(q(c)).cast("string"), F.lit("nan")).alias(c) if c in cols
                          else F.col(q(c)) for c in df.columns])
-    cats = fit_categories(filled, cols)
-    return filled.select(*[ordinal_expr(F.col(q(c)), cats[c]).alias(c) if c in cols else F.col(q(c))
-                           for c in filled.columns])
+    if not cols:
+        return filled
+    coded = encode_ordinal(filled, {c: (F.col(q(c)), c) for c in cols}, fit_categories(filled, cols))
+    return coded.select(*[F.col(q(c)) for c in df.columns])
 
 
 # --------------------------------------------------------------- Box-Cox fit
 
-def _llf_aggs(x: Column, lams: list[float]) -> list[Column]:
+def _llf_aggs(x: Column, lams: list[float], log_mean: float) -> list[Column]:
+    """Variance of the transform of x over its geometric mean, for each lambda: powers stay near 1."""
     out = []
+    u = F.ln(x) - F.lit(log_mean)
     for i, lam in enumerate(lams):
-        z = F.ln(x) if lam == 0 else (F.pow(x, F.lit(float(lam))) - 1.0) / F.lit(float(lam))
+        z = u if lam == 0 else (F.exp(F.lit(float(lam)) * u) - 1.0) / F.lit(float(lam))
         out.append(F.var_pop(z).alias(f"v{i}"))
     return out
 
 
+def _llf(n: int, sum_log: float, var: float | None) -> float:
+    """(lambda - 1) * sum(ln x) - n/2 * ln(var_pop(boxcox(x))), written with the scaled variance."""
+    return -math.inf if var is None or not 0 < var < math.inf else -sum_log - n / 2.0 * math.log(var)
+
+
 def fit_boxcox(df: DataFrame, col: str, grid: list[float] | None = None, refine_rounds: int = 6,
                points: int = 41) -> tuple[float, float]:
     """Maximum-likelihood lambda and offset for a finite, shifted-positive column.
@@ -214,7 +207,9 @@ def fit_boxcox(df: DataFrame, col: str, grid: list[float] | None = None, refine_
     offset = |min| + 1 when min <= 0, else 0. llf(l) = (l-1) * sum(ln x) -
     n/2 * ln(var_pop(boxcox(x, l))). Each round evaluates a whole lambda grid in
     one aggregate job over the (cached) column, then narrows the grid around
-    the best point. ``refine_rounds=0`` returns the best point of ``grid``.
+    the best point. While the best point is an end of the grid, the grid moves
+    on beyond it, so the maximum is interior (the likelihood has one peak).
+    ``refine_rounds=0`` returns the best point at the step of ``grid``.
     """
     x0 = df.select(F.col(q(col)).cast("double").alias("x")).where(is_finite(F.col("x")))
     mn = x0.agg(F.min("x")).first()[0]
@@ -226,18 +221,22 @@ def fit_boxcox(df: DataFrame, col: str, grid: list[float] | None = None, refine_
     n, sl = base["n"], base["sl"]
 
     def llfs(lams):
-        row = x.agg(*_llf_aggs(F.col("x"), lams)).first()
-        res = []
-        for i, lam in enumerate(lams):
-            v = row[f"v{i}"]
-            res.append(-math.inf if v is None or v <= 0 else (lam - 1.0) * sl - n / 2.0 * math.log(v))
-        return res
+        row = x.agg(*_llf_aggs(F.col("x"), lams, sl / n)).first()
+        return [_llf(n, sl, row[f"v{i}"]) for i in range(len(lams))]
 
     lams = grid if grid is not None else list(np.linspace(-5.0, 5.0, points))
     vals = llfs(lams)
     best = int(np.argmax(vals))
-    lam = lams[best]
     step = (lams[1] - lams[0]) if len(lams) > 1 else 0.25
+    lam, val = lams[best], vals[best]
+    while best in (0, len(lams) - 1) and math.isfinite(val):
+        sign = -1 if best == 0 else 1
+        lams = sorted(lam + sign * step * i for i in range(points))
+        vals = llfs(lams)
+        best = int(np.argmax(vals))
+        if vals[best] <= val:
+            break
+        lam, val = lams[best], vals[best]
     for _ in range(refine_rounds):
         lo, hi = lam - step, lam + step
         lams = list(np.linspace(lo, hi, points))
@@ -250,8 +249,8 @@ def fit_boxcox(df: DataFrame, col: str, grid: list[float] | None = None, refine_
 
 def boxcox_llf(df: DataFrame, col: str, lam: float, offset: float) -> float:
     x = df.select((F.col(q(col)).cast("double") + F.lit(offset)).alias("x")).where(is_finite(F.col("x")))
-    row = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln("x")).alias("sl"), *_llf_aggs(F.col("x"), [lam])).first()
-    return (lam - 1.0) * row["sl"] - row["n"] / 2.0 * math.log(row["v0"])
+    base = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln("x")).alias("sl")).first()
+    return _llf(base["n"], base["sl"], x.agg(*_llf_aggs(F.col("x"), [lam], base["sl"] / base["n"])).first()[0])
 
 
 # ------------------------------------------------------------- preprocessor
@@ -275,14 +274,19 @@ class Preprocessor:
     num_fill: dict = field(default_factory=dict)
     cat_fill: dict = field(default_factory=dict)
     scale: dict = field(default_factory=dict)
-    categories: dict = field(default_factory=dict)
+    codes: DataFrame | None = None
+    _lists: dict = field(default_factory=dict)
 
     def fit(self, train: DataFrame, cols: list[str]) -> "Preprocessor":
         sch = {f.name: f.dataType for f in train.schema.fields}
         self.num_cols = [c for c in cols if isinstance(sch[c], (T.DoubleType, T.FloatType, T.LongType,
-                                                                  T.IntegerType, T.ShortType, T.DecimalType))]
+                                                                  T.IntegerType, T.ShortType, T.ByteType,
+                                                                  T.DecimalType))]
         self.cat_cols = [c for c in cols if isinstance(sch[c], T.StringType)]
         self.bool_cols = [c for c in cols if isinstance(sch[c], T.BooleanType)]
+        other = [f"{c} ({sch[c].simpleString()})" for c in cols if c not in self.num_cols + self.cat_cols + self.bool_cols]
+        if other:
+            raise TypeError(f"neither number, text nor boolean, cast first: {', '.join(other)}")
         if self.impute and self.num_cols:
             self.num_fill = fit_numeric_imputer(train, self.num_cols, self.num_strategy)
         if self.impute and self.cat_cols:
@@ -291,7 +295,7 @@ class Preprocessor:
         if self.num_cols:
             self.scale = fit_standardizer(imputed, self.num_cols)
         if self.cat_cols:
-            self.categories = fit_categories(imputed, self.cat_cols)
+            self.codes = fit_categories(imputed, self.cat_cols)
         return self
 
     def _num_imputed(self) -> list[Column]:
@@ -305,45 +309,50 @@ class Preprocessor:
                     for c in self.cat_cols]
         return [F.col(q(c)).cast("string").alias(c) for c in self.cat_cols]
 
+    def _categories(self, c: str) -> list[str]:
+        if c not in self._lists:
+            self._lists[c] = category_list(self.codes, c)
+        return self._lists[c]
+
     def feature_names(self) -> list[str]:
         names = [f"num__{c}" for c in self.num_cols]
         if self.encoding == "onehot":
-            names += [f"cat__{c}_{v}" for c in self.cat_cols for v in self.categories.get(c, [])]
+            names += [f"cat__{c}_{v}" for c in self.cat_cols for v in self._categories(c)]
         else:
             names += [f"cat__{c}" for c in self.cat_cols]
         names += [f"remainder__{c}" for c in self.bool_cols]
         return names
 
-    def exprs(self) -> list[Column]:
-        out = []
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        out = [F.col(q(k)) for k in (keep or [])]
         for c, x in zip(self.num_cols, self._num_imputed()):
             m, s = self.scale[c]
             out.append(apply_standardizer(x, m, s).alias(f"num__{c}"))
         for c, x in zip(self.cat_cols, self._cat_imputed()):
             if self.encoding == "onehot":
-                out += onehot_exprs(c, x, self.categories.get(c, []))
+                out += onehot_exprs(c, x, self._categories(c))
             else:
-                out.append(ordinal_expr(x, self.categories.get(c, [])).alias(f"cat__{c}"))
+                out.append(x.alias(f"cat__{c}"))
         out += [F.col(q(c)).cast("double").alias(f"remainder__{c}") for c in self.bool_cols]
-        return out
-
-    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        return df.select(*[F.col(q(k)) for k in (keep or [])], *self.exprs())
-
-    # persistence: a small JSON document of the fitted parameters
-    def to_json(self) -> str:
-        return json.dumps({k: getattr(self, k) for k in self.__dataclass_fields__})
-
-    @classmethod
-    def from_json(cls, text: str) -> "Preprocessor":
-        d = json.loads(text)
-        d["scale"] = {k: tuple(v) for k, v in d["scale"].items()}
-        return cls(**d)
-
-    def save(self, spark: SparkSession, path: str) -> str:
-        spark.createDataFrame([(self.to_json(),)], "params string").coalesce(1).write.mode("overwrite").json(path)
+        flat = df.select(*out)
+        if self.encoding == "onehot" or not self.cat_cols:
+            return flat
+        coded = encode_ordinal(flat, {f"cat__{c}": (F.col(q(f"cat__{c}")), c) for c in self.cat_cols}, self.codes)
+        return coded.select(*[F.col(q(c)) for c in flat.columns])
+
+    # persistence: the fitted parameters as a JSON document, the codes as a table
+    def save(self, path: str, spark: SparkSession) -> str:
+        params = {k: getattr(self, k) for k in self.__dataclass_fields__ if k not in ("codes", "_lists")}
+        spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1).write.mode("overwrite").json(f"{path}/params")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         return path
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "Preprocessor":
-        return cls.from_json(spark.read.schema("params string").json(path).first()["params"])
+    def load(cls, path: str, spark: SparkSession) -> "Preprocessor":
+        d = json.loads(spark.read.schema("params string").json(f"{path}/params").first()["params"])
+        d["scale"] = {k: tuple(v) for k, v in d["scale"].items()}
+        out = cls(**d)
+        if out.cat_cols:
+            out.codes = spark.read.parquet(f"{path}/codes")
+        return out

@@ -10,8 +10,6 @@ per asset table is proportional to its distinct intervals, not its rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +57,7 @@ def expected_category_pmf(assets: DataFrame, params: DataFrame, nodes: int = 512
     """assets (.., curve_id, lo, hi) + ds0..ds4: expected probabilities for w
     uniform on [lo, hi] (midpoint rule on ``nodes`` points)."""
     keys = assets.select("curve_id", "lo", "hi").distinct()
-    k = keys.join(F.broadcast(params), "curve_id")
+    k = keys.join(params, "curve_id")
     j = F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("j")
     pts = k.select("curve_id", "lo", "hi", "mu", "sigma", j)
     w = F.col("lo") + (F.col("j").cast("double") + 0.5) * (F.col("hi") - F.col("lo")) / F.lit(float(nodes))
@@ -71,7 +69,7 @@ def expected_category_pmf(assets: DataFrame, params: DataFrame, nodes: int = 512
 
 def fragility_curves(levels: DataFrame, params: DataFrame, n: int = 500) -> DataFrame:
     """(curve_id, ef_level, i, w, f1..f4) on n even points over [0, hi]; F(0) = 0."""
-    k = levels.join(F.broadcast(params), "curve_id")
+    k = levels.join(params, "curve_id")
     i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
     pts = k.select("curve_id", "ef_level", "hi", "mu", "sigma", i)
     w = F.col("hi") * F.col("i").cast("double") / F.lit(float(n - 1))
@@ -84,7 +82,14 @@ def ef_bounds() -> dict[str, tuple[float, float]]:
 
 
 def uniform_pdf(w: Column, lo: Column, hi: Column) -> Column:
+    """Density of a uniform load on [lo, hi]."""
     return F.when((w >= lo) & (w <= hi), F.lit(1.0) / (hi - lo)).otherwise(F.lit(0.0))
 
 
-assert math.isclose(MPH_TO_MS, 0.44704)
+def pmf_table(archetypes: DataFrame, params: DataFrame, digits: int = 4, nodes: int = 512) -> DataFrame:
+    """archetype, ef_level, ds0..ds4 (rounded): every archetype (archetype, curve_id) at every EF level."""
+    spark = archetypes.sparkSession
+    levels = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in ef_bounds().items()], "ef_level string, lo double, hi double")
+    both = archetypes.join(levels)  # six fixed levels for each archetype
+    pmf = expected_category_pmf(both, params, nodes)
+    return pmf.select("archetype", "ef_level", *[F.round(f"ds{i}", digits).alias(f"ds{i}") for i in range(5)])

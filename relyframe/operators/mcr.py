@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from relyframe.functions.boxcox import clamp_boxcox_domain, inv_boxcox
 from relyframe.functions.hashing import hash_order
-from relyframe.operators.ordered import DEFAULT_ROWS_PER_BUCKET, exact_position
+from relyframe.operators.ordered import exact_position
 from relyframe.operators.stats import q
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """One aggregate: r2 = 1 - SSE/SST, rmse, mae (rows with both values)."""
+    """One aggregate: r2 = 1 - SSE/SST (null for a constant truth), rmse, mae (rows with both values)."""
     d = df.where(F.col(q(y)).isNotNull() & F.col(q(yhat)).isNotNull())
     e = F.col(q(y)) - F.col(q(yhat))
-    mean_y = d.agg(F.avg(q(y))).first()[0]
-    return d.agg((F.lit(1.0) - F.sum(e * e) / F.sum((F.col(q(y)) - F.lit(mean_y)) ** 2)).alias("r2"),
+    # var_pop is updated around the running mean, so one pass keeps its precision
+    return d.agg((F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(F.col(q(y)).cast("double")))).alias("r2"),
                  F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
@@ -59,48 +59,100 @@ def best_model(results: DataFrame, metric: str = "test_r2", maximize: bool = Tru
 
 # ---------------------------------------------------------- permutations
 
-def permute_column(df: DataFrame, col: str, seed: int, purpose: str = "perm", id_col: str = "row_id",
-                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def permute_column(df: DataFrame, col: str, seed: int, purpose: str = "perm", id_col: str = "row_id") -> DataFrame:
     """Shuffle one column: row at id-rank i takes the value of the row at
-    hash-rank i (hash of seed|purpose|id). Exact global ranks from bucketed
-    running counts, so no single-task window; the multiset is unchanged."""
+    hash-rank i (hash of seed|purpose|id). Exact global ranks from range
+    partitions, so no single-task window; the multiset is unchanged."""
     base = df.select(id_col, col)
-    by_id = exact_position(base.select(id_col), [], [id_col], pos_col="_r", total_col=None,
-                           rows_per_bucket=rows_per_bucket)
+    by_id = exact_position(base.select(id_col), [], [id_col], pos_col="_r", total_col=None)
     by_h = exact_position(base.withColumn("_h", hash_order(seed, purpose, F.col(id_col))), [], ["_h", id_col],
-                          pos_col="_r", total_col=None, rows_per_bucket=rows_per_bucket) \
+                          pos_col="_r", total_col=None) \
         .select("_r", F.col(col).alias("_perm"))
     mapping = by_id.join(by_h, "_r").select(id_col, "_perm")
     return df.join(mapping, id_col).drop(col).withColumnRenamed("_perm", col)
 
 
+def permuted_values(df: DataFrame, features: list[str], seed: int = 42, repeats: int = 1,
+                    id_col: str = "row_id") -> DataFrame:
+    """(id, feature, repeat, value): each feature shuffled over the rows, in every repeat.
+
+    Row at id-rank i takes the value of the row at hash-rank i. The id ranks
+    are found once; the hash ranks of all features and repeats come from one
+    long table ranked by (feature, repeat).
+    """
+    by_id = exact_position(df.select(id_col), [], [id_col], pos_col="_r", total_col=None)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"), F.col(q(f)).cast("double").alias("_value"),
+                 hash_order(seed + r, f"perm|{f}", F.col(id_col)).alias("_h")) for f in features for r in range(repeats)]))
+    long = df.select(id_col, cells.alias("c")).select(id_col, "c.*")
+    by_h = exact_position(long, ["_feature", "_repeat"], ["_h", id_col], pos_col="_r", total_col=None).drop(id_col, "_h")
+    return by_id.join(by_h, "_r").select(id_col, F.col("_feature").alias("feature"), F.col("_repeat").alias("repeat"),
+                                         F.col("_value").alias("value"))
+
+
 def permutation_losses(df: DataFrame, features: list[str], y: str, predict: Callable[[DataFrame], DataFrame],
                        seed: int = 42, repeats: int = 1, id_col: str = "row_id",
-                       loss: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(feature, repeat, loss) with each feature permuted in turn.
+                       loss: Callable[[Column, Column], Column] | None = None, keys: list[str] = ()) -> DataFrame:
+    """(keys, feature, repeat, loss) with each feature permuted in turn.
 
-    All (feature, repeat) copies are stacked into one DataFrame, scored by
-    ``predict`` once (one ``transform`` for a Spark ML model, one projection
-    for a linear model) and reduced by one groupBy. ``predict`` must return
-    the input columns plus ``prediction``.
+    All (feature, repeat) copies are one DataFrame, made by one join, scored by
+    ``predict`` once (one ``transform`` for a Spark ML model, one projection for
+    linear models) and reduced by one groupBy. ``predict`` must return the input
+    columns plus ``prediction`` and, with several models, the ``keys`` columns.
     """
     loss = loss or (lambda t, p: (t - p) * (t - p))
-    copies = None
-    for f in features:
-        for r in range(repeats):
-            c = permute_column(df, f, seed + r, f"perm|{f}", id_col).select(
-                F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"), *df.columns)
-            copies = c if copies is None else copies.unionByName(c)
+    moved = permuted_values(df, features, seed, repeats, id_col).select(
+        F.col(id_col).alias("_id"), F.col("feature").alias("_feature"), F.col("repeat").alias("_repeat"), F.col("value").alias("_v"))
+    copies = moved.join(df, F.col("_id") == F.col(q(id_col))).select("_feature", "_repeat", *[
+        F.when(F.col("_feature") == c, F.col("_v")).otherwise(F.col(q(c))).alias(c) if c in features else F.col(q(c))
+        for c in df.columns])
     scored = predict(copies)
-    return scored.groupBy(F.col("_feature").alias("feature"), F.col("_repeat").alias("repeat")) \
+    return scored.groupBy(*keys, F.col("_feature").alias("feature"), F.col("_repeat").alias("repeat")) \
         .agg(F.avg(loss(F.col(q(y)), F.col("prediction"))).alias("loss"))
 
 
-def model_reliance(base_loss: float, perm: DataFrame) -> DataFrame:
-    """MR = e_perm / e_orig per feature (mean over repeats)."""
-    if base_loss == 0:
-        raise ZeroDivisionError("zero baseline loss")
-    return perm.groupBy("feature").agg((F.avg("loss") / F.lit(base_loss)).alias("mr"))
+# ------------------------------------------------- fitted models as a table
+
+MODEL_SCHEMA = "model string, feature_set string, features array<string>, intercept double, coefficients array<double>"
+
+
+def save_benchmark(results: DataFrame, models: list[tuple], path: str) -> str:
+    """Write the result table and the fitted linear models (rows of MODEL_SCHEMA, feature lists included)."""
+    results.write.mode("overwrite").parquet(f"{path}/results")
+    results.sparkSession.createDataFrame(models, MODEL_SCHEMA).write.mode("overwrite").parquet(f"{path}/models")
+    return path
+
+
+def load_models(results: DataFrame, path: str) -> list[tuple]:
+    """The fitted models of the rows of ``results`` (a few, such as a Rashomon set), looked up by model and feature set."""
+    saved = results.sparkSession.read.parquet(f"{path}/models")
+    found = saved.join(results.select("model", "feature_set"), ["model", "feature_set"], "left_semi")
+    return [tuple(r) for r in found.orderBy("model", "feature_set").collect()]
+
+
+def linear_models(models: list[tuple], scale: Callable[[Column], Column] = lambda p: p) -> Callable[[DataFrame], DataFrame]:
+    """predict for several linear models: rows of the input for each model, with model, feature_set, used, prediction."""
+    def predict(d: DataFrame) -> DataFrame:
+        out = []
+        for model, feature_set, features, b0, coef in models:
+            p = F.lit(float(b0))
+            for f, b in zip(features, coef):
+                p = p + F.lit(float(b)) * F.col(q(f)).cast("double")
+            out.append(F.struct(F.lit(model).alias("model"), F.lit(feature_set).alias("feature_set"),
+                                F.array(*[F.lit(f) for f in features]).alias("used"), scale(p).alias("prediction")))
+        return d.select("*", F.explode(F.array(*out)).alias("_m")).select(*[F.col(q(c)) for c in d.columns], "_m.*")
+    return predict
+
+
+def model_reliance(base: DataFrame, perm: DataFrame, keys: list[str] = ["model", "feature_set"]) -> DataFrame:
+    """MR = e_perm / e_orig for each model and feature (mean over repeats).
+
+    ``base`` holds (keys, loss), ``perm`` (keys, feature, loss). A model
+    without baseline loss is skipped: its reliance is undefined.
+    """
+    per = perm.groupBy(*keys, "feature").agg(F.avg("loss").alias("_perm"))
+    return per.join(base.where(F.col("loss") != 0).withColumnRenamed("loss", "_base"), keys).select(
+        *keys, "feature", (F.col("_perm") / F.col("_base")).alias("mr"))
 
 
 def mcr_intervals(mr: DataFrame) -> DataFrame:
@@ -119,6 +171,6 @@ def top_reliance(mcr: DataFrame, n: int = 10, labels: DataFrame | None = None) -
     (label table joined, falling back to the code itself)."""
     top = mcr.orderBy(F.desc("mcr_min"), F.desc("mcr_max"), F.asc("feature")).limit(n)
     if labels is not None:
-        top = top.join(F.broadcast(labels), top.feature == labels.code, "left") \
+        top = top.join(labels, top.feature == labels.code, "left") \
             .withColumn("display", F.coalesce(F.col("name"), F.col("feature"))).drop("code", "name")
     return top

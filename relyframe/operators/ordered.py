@@ -1,136 +1,99 @@
 """Exact ordered positions within groups, without one-task windows.
 
-A window partitioned only by a group key puts the whole group in one task;
-when one group holds a third of all rows that task is the job. Here every
-group is cut into value buckets at approximate quantiles (``percentile_approx``
-per group), rows are numbered inside ``(group, bucket)`` windows, and a small
-per-bucket count table supplies each bucket's offset. Bucket assignment is a
-monotone function of the order value, so the result is exact; the
-approximation only affects how evenly rows spread over buckets.
-
-When the largest group fits in ``rows_per_bucket`` there is one bucket and
-the plan is a plain window -- no extra job.
+Rows are range-partitioned by (group, order key), sorted inside partitions and
+checkpointed, so a group that holds a third of all rows is spread over
+partitions by its order key. A row's position is its place in its partition
+less the place of its group's first row there, plus the group's rows in the
+partitions before. The last two come from a table with a row for each
+(group, partition) that occurs: at most groups + partitions rows.
+
+The same plan serves every size. The checkpoint keeps the partition of a row
+fixed: range bounds are sampled, and a second evaluation could cut elsewhere.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 4096
+from relyframe.session import checkpoint_dir
+
+#: Positions in one neighbour window; rows at its ends are copied to the next.
+BLOCK_ROWS = 200_000
 
 
 def _cols(cs):
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def bucket_count(df: DataFrame, group_cols: list[str], rows_per_bucket: int,
-                 weight_col: str | None = None) -> int:
-    """Buckets needed so the largest group's rows fit per bucket (one small job)."""
-    w = F.col(weight_col) if weight_col else F.lit(1)
-    if group_cols:
-        row = df.groupBy(*group_cols).agg(F.count(w).alias("_n")).agg(F.max("_n").alias("m")).first()
-    else:
-        row = df.agg(F.count(w).alias("m")).first()
-    m = (row["m"] or 0) if row else 0
-    return int(min(MAX_BUCKETS, max(1, math.ceil(m / max(1, rows_per_bucket)))))
-
-
-def with_bucket(df: DataFrame, group_cols: list[str], order_col: str, buckets: int,
-                name: str = "_bucket") -> DataFrame:
-    """Add a bucket id in [0, buckets) that is monotone in ``order_col`` per group."""
-    if buckets <= 1:
-        return df.withColumn(name, F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(10000, 20 * buckets)
-    bounds = df.groupBy(*group_cols).agg(
-        F.percentile_approx(F.col(order_col), probs, acc).alias("_bounds")) if group_cols else \
-        df.agg(F.percentile_approx(F.col(order_col), probs, acc).alias("_bounds"))
-    joined = df.join(bounds, on=group_cols, how="left") if group_cols else df.crossJoin(F.broadcast(bounds))
-    oc = F.col(order_col)
-    return joined.withColumn(name, F.size(F.filter("_bounds", lambda b: b < oc))).drop("_bounds")
+def _same(left: DataFrame, right: DataFrame, cols: list[str]):
+    """Join condition on columns of equal names that lets missing values match."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[f"`{c}`"].eqNullSafe(right[f"`_g_{c}`"])
+    return cond
 
 
 def exact_position(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
                    weight_col: str | None = None, pos_col: str = "_pos", total_col: str | None = "_n",
-                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, buckets: int | None = None) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """Sum of weights of strictly preceding rows within the group (0-based
-    position when weights are 1), by the lexicographic ``order_cols``.
+    position when weights are 1), by the lexicographic ``order_cols``; missing
+    values come first and are one group.
 
-    The first order column must be numeric (it drives the buckets); callers
-    make the full order key unique (e.g. add ``row_id``) where ties matter.
+    Callers make the full order key unique (e.g. add ``row_id``) where ties
+    matter. ``partitions`` defaults to the session's shuffle partitions.
     """
-    w = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
-    first = order_cols[0] if isinstance(order_cols[0], str) else None
-    if buckets is None:
-        buckets = bucket_count(df, group_cols, rows_per_bucket, weight_col) if first else 1
-    d = df.withColumn("_w", w)
-    d = with_bucket(d, group_cols, first, buckets) if first else d.withColumn("_bucket", F.lit(0))
-    part = [*group_cols, "_bucket"]
-    win = Window.partitionBy(*part).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_run", F.coalesce(F.sum("_w").over(win), F.lit(0).cast("bigint")))
-    if buckets <= 1:
-        d = d.withColumn(pos_col, F.col("_run"))
-        if total_col:
-            d = d.withColumn(total_col, F.sum("_w").over(Window.partitionBy(*group_cols)) if group_cols
-                             else F.sum("_w").over(Window.partitionBy()))
-        return d.drop("_w", "_run", "_bucket")
-    counts = d.groupBy(*part).agg(F.sum("_w").alias("_bw"))
-    cw = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_bw").over(cw), F.lit(0).cast("bigint")))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*_cols(group_cols), *_cols(order_cols)]
+    d = df.withColumn("_w", F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint"))
+    d = d.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # the id is partition * 2**33 + place in the partition
+    d = d.withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright("_at", 33)
+    d = d.withColumn("_part", part)
+    per = d.groupBy(*group_cols, "_part").agg(F.sum("_w").alias("_pw"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_pw").over(before), F.lit(0).cast("bigint")))
     if total_col:
-        counts = counts.withColumn(total_col, F.sum("_bw").over(Window.partitionBy(*group_cols)))
-    counts = counts.drop("_bw")
-    d = d.join(counts, on=part, how="left")
-    return d.withColumn(pos_col, F.col("_off") + F.col("_run")).drop("_w", "_run", "_off", "_bucket")
+        per = per.withColumn("_tot", F.sum("_pw").over(Window.partitionBy(*group_cols)))
+    names = [*group_cols, "_part"]
+    per = per.select(*[F.col(f"`{c}`").alias(f"_g_{c}") for c in names], "_off", "_first", *(["_tot"] if total_col else []))
+    out = d.join(per, _same(d, per, names), "left")
+    if weight_col:
+        run = Window.partitionBy(*group_cols, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum("_w").over(run), F.lit(0).cast("bigint"))
+    else:
+        inside = F.col("_at") - F.col("_first")
+    keep = [c for c in df.columns if c not in (pos_col, total_col)]
+    return out.select(*[F.col(f"`{c}`") for c in keep], (F.col("_off") + inside).alias(pos_col),
+                      *([F.col("_tot").alias(total_col)] if total_col else []))
 
 
 def sorted_neighbors(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, k: int,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, prefix: str = "_nb",
-                     max_group: int | None = None) -> DataFrame:
+                     prefix: str = "_nb", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Values of the k preceding and k following rows in sort order, per group.
 
     Adds ``{prefix}_p1..pk`` (previous) and ``{prefix}_n1..nk`` (next) plus
-    ``_pos`` and ``_n``. Rows are numbered exactly (bucketed running count),
-    cut into blocks of ``rows_per_bucket`` positions, and the k rows on each
-    side of a block boundary are copied into the neighbouring block as halo
-    rows, so lag/lead inside (group, block) windows is exact while no window
-    partition exceeds one block.
+    ``_pos`` and ``_n``. Rows are cut into blocks of ``block_rows`` positions,
+    and the k rows on each side of a block boundary are copied into the
+    neighbouring block as halo rows, so lag/lead inside (group, block) windows
+    is exact while no window partition exceeds one block.
     """
-    size = max(rows_per_bucket, 2 * k + 1)
-    biggest = max_group if max_group is not None else max_group_size(df, group_cols)
-    buckets = int(min(MAX_BUCKETS, max(1, math.ceil(biggest / max(1, rows_per_bucket)))))
-    pos = exact_position(df, group_cols, order_cols, pos_col="_pos", total_col="_n",
-                         rows_per_bucket=rows_per_bucket, buckets=buckets)
-    if biggest <= size:
-        w = Window.partitionBy(*group_cols).orderBy("_pos")
-        out = pos
-        for j in range(1, k + 1):
-            out = out.withColumn(f"{prefix}_p{j}", F.lag(value_col, j).over(w)) \
-                     .withColumn(f"{prefix}_n{j}", F.lead(value_col, j).over(w))
-        return out
+    size = max(block_rows, 2 * k + 1)
+    pos = exact_position(df, group_cols, order_cols, pos_col="_pos", total_col="_n")
     blk = F.floor(F.col("_pos") / F.lit(size)).cast("bigint")
     off = F.col("_pos") % F.lit(size)
-    base = pos.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
-    nxt = base.where((off >= F.lit(size - k)) & (F.col("_pos") + 1 < F.col("_n"))) \
-        .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True))
-    prv = base.where((off < F.lit(k)) & (F.col("_blk") > 0)) \
-        .withColumn("_blk", F.col("_blk") - 1).withColumn("_halo", F.lit(True))
-    allrows = base.unionByName(nxt).unionByName(prv)
+    # a row goes to its own block and, near an edge, to the one beside it
+    at = F.array_compact(F.array(
+        F.struct(blk.alias("b"), F.lit(False).alias("halo")),
+        F.when((off >= F.lit(size - k)) & (F.col("_pos") + 1 < F.col("_n")), F.struct((blk + 1).alias("b"), F.lit(True).alias("halo"))),
+        F.when((off < F.lit(k)) & (blk > 0), F.struct((blk - 1).alias("b"), F.lit(True).alias("halo")))))
+    rows = pos.select("*", F.explode(at).alias("_at")).select(*[F.col(f"`{c}`") for c in pos.columns],
+                                                              F.col("_at.b").alias("_blk"), F.col("_at.halo").alias("_halo"))
     w = Window.partitionBy(*group_cols, "_blk").orderBy("_pos")
-    out = allrows
-    for j in range(1, k + 1):
-        out = out.withColumn(f"{prefix}_p{j}", F.lag(value_col, j).over(w)) \
-                 .withColumn(f"{prefix}_n{j}", F.lead(value_col, j).over(w))
-    return out.where(~F.col("_halo")).drop("_blk", "_halo")
-
-
-def max_group_size(df: DataFrame, group_cols: list[str]) -> int:
-    if group_cols:
-        row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("m")).first()
-    else:
-        row = df.agg(F.count(F.lit(1)).alias("m")).first()
-    return int((row["m"] or 0) if row else 0)
+    near = {f"{prefix}_{side}{j}": fn(value_col, j).over(w) for j in range(1, k + 1)
+            for side, fn in (("p", F.lag), ("n", F.lead))}
+    return rows.withColumns(near).where(~F.col("_halo")).drop("_blk", "_halo")

@@ -10,10 +10,11 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from relyframe.functions.hashing import hash_order, uniform
-from relyframe.operators.ordered import DEFAULT_ROWS_PER_BUCKET, exact_position
+from relyframe.functions.missing import is_finite
+from relyframe.operators.ordered import exact_position
+from relyframe.operators.stats import q
 
 
 def class_key(col: str) -> F.Column:
@@ -35,14 +36,15 @@ def _test_count(n: int, test_size: float) -> int:
 
 
 def stratified_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
-                     id_col: str = "row_id", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     id_col: str = "row_id") -> DataFrame:
     """Exact stratified split; adds ``split`` in {'train','test'}.
 
     n_test = ceil(test_size * n). Per class train quota = floor(c * n_train / n),
     then the classes with the largest remainders (exact integer remainders,
     ties by a hash of the class) get one more until quotas sum to n_train.
     Inside each class, rows ordered by md5(seed|split|row_id) fill the quota.
-    Hot classes are numbered by bucketed running counts, never one task.
+    Quotas are exact integers of 38 digits. Rows without a target are a class of
+    their own. Hot classes are numbered over range partitions, never in one task.
     """
     d = df.withColumn("_class", class_key(key))
     classes = d.groupBy("_class").agg(F.count(F.lit(1)).alias("_c")).persist()
@@ -53,32 +55,32 @@ def stratified_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     if n_test < tot["k"] or n_train < tot["k"]:
         classes.unpersist()
         raise ValueError("stratified split impossible: fewer test/train rows than classes")
-    num = F.col("_c") * F.lit(n_train)
-    cls = classes.select("_class", "_c", F.floor(num / F.lit(n)).cast("bigint").alias("_fl"),
-                         (num % F.lit(n)).alias("_rem"),
-                         hash_order(seed, "class", F.round(F.col("_class") * 1e6).cast("bigint")).alias("_h"))
+    num = F.col("_c").cast("decimal(19,0)") * F.lit(n_train).cast("decimal(19,0)")
+    whole = F.lit(n).cast("decimal(38,0)")
+    rem = num.cast("decimal(38,0)") % whole
+    cls = classes.select("_class", "_c", num.alias("_num"), rem.alias("_rem"),
+                         hash_order(seed, "class", F.expr("try_cast(round(_class * 1e6) AS decimal(38,0))")).alias("_h"))
+    cls = cls.withColumn("_fl", F.expr(f"cast(_num AS decimal(38,0)) div cast({n} AS decimal(38,0))").cast("bigint"))
     short = n_train - int(cls.agg(F.sum("_fl")).first()[0] or 0)
     ranked = exact_position(cls.withColumn("_neg", -F.col("_rem")), [], ["_neg", "_h", "_class"],
-                            pos_col="_r", total_col=None, rows_per_bucket=rows_per_bucket)
-    quota = ranked.select("_class", (F.col("_fl") + F.when(F.col("_r") < F.lit(short), 1).otherwise(0))
+                            pos_col="_r", total_col=None)
+    quota = ranked.select(F.col("_class").alias("_q"), (F.col("_fl") + F.when(F.col("_r") < F.lit(short), 1).otherwise(0))
                           .alias("_quota"))
     rows = d.withColumn("_h", hash_order(seed, "split", F.col(id_col)))
-    rows = exact_position(rows, ["_class"], ["_h", id_col], pos_col="_p", total_col=None,
-                          rows_per_bucket=rows_per_bucket)
-    out = rows.join(quota, on="_class", how="inner") \
+    rows = exact_position(rows, ["_class"], ["_h", id_col], pos_col="_p", total_col=None)
+    out = rows.join(quota, F.col("_class").eqNullSafe(F.col("_q")), "inner") \
         .withColumn("split", F.when(F.col("_p") < F.col("_quota"), F.lit("train")).otherwise(F.lit("test"))) \
-        .drop("_class", "_h", "_p", "_quota")
+        .drop("_class", "_h", "_p", "_quota", "_q")
     classes.unpersist()
     return out
 
 
-def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "row_id",
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "row_id") -> DataFrame:
     """Exact-size random split: global rank by md5 hash; the first n_train are train."""
     n = df.count()
     n_train = n - _test_count(n, test_size)
     rows = df.withColumn("_h", hash_order(seed, "split", F.col(id_col)))
-    rows = exact_position(rows, [], ["_h", id_col], pos_col="_p", total_col=None, rows_per_bucket=rows_per_bucket)
+    rows = exact_position(rows, [], ["_h", id_col], pos_col="_p", total_col=None)
     return rows.withColumn("split", F.when(F.col("_p") < F.lit(n_train), F.lit("train")).otherwise(F.lit("test"))) \
         .drop("_h", "_p")
 
@@ -100,37 +102,55 @@ def assign_folds(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 42,
                             for r in range(repeats)])
 
 
-def assign_group_folds(spark: SparkSession, df: DataFrame, group_col: str, k: int = 5,
-                       max_groups: int = 1_000_000) -> tuple[DataFrame, int]:
+def assign_group_folds(spark: SparkSession, df: DataFrame, group_col: str, k: int = 5) -> tuple[DataFrame, int]:
     """Group K-fold: n_splits = min(k, groups); groups by size desc go to the
-    currently lightest fold (lowest index on ties). The greedy runs over the
-    group-size table, whose row count is checked first; the fold map is
-    joined back (broadcast by AQE when small)."""
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_c"))
-    n_groups = sizes.count()
-    if n_groups > max_groups:
-        raise OverflowError(f"{n_groups} groups is above {max_groups}")
-    splits = min(k, n_groups)
+    currently lightest fold (lowest index on ties).
+
+    The greedy rule needs the group sizes in order, so it runs as a stream over
+    the sorted (group, size) table, holding k loads and nothing else; any
+    number of groups passes. The fold map is joined back by group. Rows
+    without a group are a group of their own.
+    """
+    sizes = df.groupBy(F.col(q(group_col)).alias("_g")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.checkpoint(eager=True)
+    splits = min(k, sizes.count())
     if splits < 2:
         return df.withColumn("fold", F.lit(None).cast("int")), splits
-    rows = sorted(sizes.collect(), key=lambda r: (-r["_c"], str(r[group_col])))
-    load = [0] * splits
-    assign = []
-    for r in rows:
-        f = min(range(splits), key=lambda i: (load[i], i))
-        load[f] += r["_c"]
-        assign.append((r[group_col], f))
-    gtype = df.schema[group_col].dataType
-    fmap = spark.createDataFrame(assign, T.StructType([T.StructField(group_col, gtype), T.StructField("fold", T.IntegerType())]))
-    return df.join(fmap, on=group_col, how="left"), splits
+    gtype = df.schema[group_col].dataType.simpleString()
+
+    def greedy(batches):
+        load = [0] * splits
+        for pdf in batches:
+            fold = []
+            for c in pdf["_c"]:
+                f = min(range(splits), key=load.__getitem__)
+                load[f] += int(c)
+                fold.append(f)
+            yield pdf[["_g"]].assign(fold=fold)
+
+    order = [F.desc("_c"), F.col("_g").cast("string").asc_nulls_first()]
+    fmap = sizes.coalesce(1).sortWithinPartitions(*order).mapInPandas(greedy, f"_g {gtype}, fold int")
+    return df.join(fmap, F.col(q(group_col)).eqNullSafe(F.col("_g")), "left").drop("_g"), splits
+
+
+def nearest_centre(df: DataFrame, cols: list[str], centres: list[list[float]], out_col: str = "spatial_group") -> DataFrame:
+    """Index of the nearest centre (lowest on ties); null where a coordinate is missing."""
+    dist = F.array(*[sum(((F.col(q(c)).cast("double") - F.lit(float(v))) ** 2 for c, v in zip(cols, centre)), F.lit(0.0))
+                     for centre in centres])
+    present = F.lit(True)
+    for c in cols:
+        present = present & is_finite(F.col(q(c)).cast("double"))
+    return df.withColumn(out_col, F.when(present, (F.array_position(dist, F.array_min(dist)) - 1).cast("int")))
 
 
 def spatial_groups(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42,
                    out_col: str = "spatial_group") -> DataFrame:
-    """k-means cluster id on raw coordinates (Spark ML KMeans)."""
+    """k-means cluster id on raw coordinates: Spark ML fits the centres on the
+    complete rows, a projection assigns every row; rows with a missing
+    coordinate stay, without a group."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
+    present = df.where(~F.greatest(*[(~is_finite(F.col(q(c)).cast("double"))).cast("int") for c in cols]).cast("boolean"))
     va = VectorAssembler(inputCols=cols, outputCol="_xy", handleInvalid="skip")
-    vec = va.transform(df)
-    model = KMeans(k=k, seed=seed, featuresCol="_xy", predictionCol=out_col).fit(vec)
-    return model.transform(vec).drop("_xy")
+    model = KMeans(k=k, seed=seed, featuresCol="_xy").fit(va.transform(present.select(*[F.col(q(c)).cast("double").alias(c) for c in cols])))
+    return nearest_centre(df, cols, [list(map(float, c)) for c in model.clusterCenters()], out_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relyframe.operators.ordered import DEFAULT_ROWS_PER_BUCKET, exact_position
+from relyframe.operators.ordered import exact_position
 
 
 def q(c: str) -> str:
@@ -29,25 +29,24 @@ def long_form(df: DataFrame, cols: list[str], id_col: str = "row_id",
     return d.unpivot([id_col], cols, feature_col, value_col)
 
 
-def average_rank_table(df: DataFrame, cols: list[str], rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def average_rank_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, value, n, avg_rank) over distinct non-null values.
 
     Average rank = (number of smaller values) + (n + 1) / 2. Works on distinct
-    values, so a hot value is one row; the running count is bucketed so one
-    feature never sits in a single task.
+    values, so a hot value is one row; the running count is range-partitioned,
+    so one feature never sits in a single task.
     """
     lf = long_form(df.select(*[F.col(q(c)) for c in cols], F.lit(0).alias("_id")), cols, "_id")
     distinct = lf.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = exact_position(distinct, ["feature"], ["value"], weight_col="n", pos_col="_below",
-                            total_col=None, rows_per_bucket=rows_per_bucket)
+                            total_col=None)
     return ranked.select("feature", "value", "n",
                          (F.col("_below").cast("double") + (F.col("n").cast("double") + 1.0) / 2.0).alias("avg_rank"))
 
 
-def average_rank(df: DataFrame, cols: list[str], id_col: str = "row_id",
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def average_rank(df: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:
     """Wide frame (id, col...) with every value replaced by its column-wise average rank."""
-    ranks = average_rank_table(df, cols, rows_per_bucket)
+    ranks = average_rank_table(df, cols)
     lf = long_form(df, cols, id_col)
     joined = lf.join(ranks.select("feature", "value", "avg_rank"), on=["feature", "value"], how="left")
     return joined.groupBy(id_col).pivot("feature", cols).agg(F.first("avg_rank"))
@@ -55,11 +54,6 @@ def average_rank(df: DataFrame, cols: list[str], id_col: str = "row_id",
 
 # ---------------------------------------------------------------- Gram path
 
-def _complete(df: DataFrame, cols: list[str]) -> bool:
-    row = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(F.col(q(c))).alias(c) for c in cols]).first()
-    return all(row[c] == row["_all"] for c in cols)
-
-
 def column_means(df: DataFrame, cols: list[str]) -> np.ndarray:
     row = df.agg(*[F.avg(F.col(q(c)).cast("double")).alias(c) for c in cols]).first()
     return np.array([row[c] if row[c] is not None else 0.0 for c in cols], dtype=float)
@@ -161,10 +155,9 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
     return np.clip(r, -1.0, 1.0)
 
 
-def spearman_matrix(df: DataFrame, cols: list[str], id_col: str = "row_id",
-                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> np.ndarray:
+def spearman_matrix(df: DataFrame, cols: list[str], id_col: str = "row_id") -> np.ndarray:
     """Pearson of column-wise average ranks; undefined entries become 0."""
-    ranks = average_rank(df, cols, id_col, rows_per_bucket)
+    ranks = average_rank(df, cols, id_col)
     r = corr_matrix(ranks, cols)
     return np.nan_to_num(r, nan=0.0)
 
@@ -185,7 +178,7 @@ def matrix_to_long(spark: SparkSession, m: np.ndarray, cols: list[str], upper_on
 
 # ------------------------------------------------------------ profiles etc.
 
-def profile(df: DataFrame, cols: list[str] | None = None, approx_first: bool = False) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, n_distinct, n_missing): exact distinct counts (nulls not counted).
 
     Computed in long form as one groupBy over (column, value) -- a

@@ -194,34 +194,52 @@ def q_cluster_association(spark: SparkSession, sf: str):
 @register("cluster_ward")
 def q_cluster_ward(spark: SparkSession, sf: str):
     enc, names = encoded_frame(spark, sf)
-    return K.select_by_ward(enc, names, 120.0).report(spark)
+    return K.select_by_ward(enc, names, 1.0).report(spark)
 
 
 @register("cluster_rank_ward")
 def q_cluster_rank_ward(spark: SparkSession, sf: str):
     enc, names = encoded_frame(spark, sf)
-    return K.select_by_rank_ward(enc, names, 5.0e5).report(spark)
+    return K.select_by_rank_ward(enc, names, 0.35).report(spark)
 
 
-@register("cluster_representative")
+# proofs of what follows a clustering, on a given one
+GIVEN = {"o_totalprice": 1, "n_items": 1, "sum_qty": 1, "sum_price": 1, "c_acctbal": 2, "avg_disc": 3, "avg_tax": 3}
+_LABELS = np.array(list(GIVEN.values()))
+_GIVEN_SQL = (D_SQL + ", cl AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {l}, {i})" for i, (f, l) in enumerate(GIVEN.items())) + ") t(f, l, pos))"
+              + ", up AS (" + " UNION ALL ".join(
+                  f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS rho, sqrt(avg(({a} - {b}) * ({a} - {b}))) AS dist FROM d"
+                  for a, b in _pairs(list(GIVEN))) + ")"
+              + ", m AS (SELECT f1, f2, rho, dist FROM up UNION ALL SELECT f2, f1, rho, dist FROM up UNION ALL "
+                "SELECT f, f, 1.0, 0.0 FROM cl), w AS (SELECT m.*, a.l AS l1, b.l AS l2 FROM m JOIN cl a ON f1 = a.f JOIN cl b ON f2 = b.f)")
+
+
+@register("cluster_representative", _GIVEN_SQL + """,
+s AS (SELECT l1 AS cluster_id, f1, round(sum(abs(rho)), 9) AS total FROM w WHERE l1 = l2 GROUP BY ALL)
+SELECT cluster_id, f1 AS feature FROM s JOIN cl ON f1 = f QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY total DESC, pos) = 1""")
 def q_cluster_rep(spark: SparkSession, sf: str):
-    return _sel_spearman(spark, sf).report(spark).where("is_representative").select("cluster_id", "feature")
+    m = corr_matrix(assoc_frame(spark, sf), list(GIVEN))
+    reps = K.representative_by_assoc(m, _LABELS, list(GIVEN))
+    return spark.createDataFrame(list(zip(sorted(set(GIVEN.values())), reps)), "cluster_id int, feature string")
 
 
-@register("cluster_centroid_rep")
+@register("cluster_centroid_rep", _GIVEN_SQL + """,
+s AS (SELECT l1 AS cluster_id, f1, avg(dist * dist) AS total FROM w WHERE l1 = l2 GROUP BY ALL)
+SELECT cluster_id, f1 AS feature FROM s JOIN cl ON f1 = f QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY total, pos) = 1""")
 def q_cluster_centroid(spark: SparkSession, sf: str):
-    enc, names = encoded_frame(spark, sf)
-    return K.select_by_ward(enc, names, 120.0).report(spark).where("is_representative").select("cluster_id", "feature")
+    d = A.column_distances(assoc_frame(spark, sf), list(GIVEN))
+    reps = K.representative_by_centroid(d, _LABELS, list(GIVEN))
+    return spark.createDataFrame(list(zip(sorted(set(GIVEN.values())), reps)), "cluster_id int, feature string")
 
 
-@register("cluster_silhouette")
+@register("cluster_silhouette", _GIVEN_SQL + """,
+g AS (SELECT f1, l1, l2, sum(1.0 - abs(rho)) AS total, count(*) AS n FROM w GROUP BY ALL),
+ab AS (SELECT f1, max(CASE WHEN l1 = l2 AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN l1 <> l2 THEN total / n END) AS b
+       FROM g GROUP BY f1)
+SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, 3 AS n_clusters
+FROM ab""")
 def q_cluster_silhouette(spark: SparkSession, sf: str):
-    enc, names = encoded_frame(spark, sf)
-    enc = enc.persist()
-    rows = []
-    for name, sel in [("spearman", K.select_by_spearman(enc, names, 0.675)),
-                      ("association", K.select_by_association(enc, names, 0.5)),
-                      ("ward", K.select_by_ward(enc, names, 120.0))]:
-        qv = K.cluster_quality(sel)
-        rows.append((name, float(qv["silhouette_score"]), int(qv["n_clusters"])))
-    return spark.createDataFrame(rows, "method string, silhouette double, n_clusters int")
+    m = corr_matrix(assoc_frame(spark, sf), list(GIVEN))
+    sel = K.Selection(list(GIVEN), _LABELS, list(GIVEN), "association", 0.5, m)
+    v = K.cluster_quality(sel)
+    return rounded(spark.createDataFrame([(float(v["silhouette_score"]), int(v["n_clusters"]))], "silhouette double, n_clusters int"))

@@ -89,22 +89,22 @@ SELECT row_id, split, coalesce(cp.code, -1.0) AS cat__o_orderpriority, coalesce(
 FROM ef LEFT JOIN cp ON ef.o_orderpriority = cp.v LEFT JOIN cc ON ef.cust_txt = cc.v""")
 def q_ordinal(spark: SparkSession, sf: str):
     ef = encode_frame(spark, sf).persist()
-    cats = E.fit_categories(ef.where(F.col("split") == "train"), ["o_orderpriority", "cust_txt"])
-    return ef.select("row_id", "split",
-                     E.ordinal_expr(F.col("o_orderpriority"), cats["o_orderpriority"]).alias("cat__o_orderpriority"),
-                     E.ordinal_expr(F.col("cust_txt"), cats["cust_txt"]).alias("cat__cust_txt"))
+    codes = E.fit_categories(ef.where(F.col("split") == "train"), ["o_orderpriority", "cust_txt"])
+    out = E.encode_ordinal(ef, {f"cat__{c}": (F.col(c), c) for c in ("o_orderpriority", "cust_txt")}, codes)
+    return out.select("row_id", "split", "cat__o_orderpriority", "cat__cust_txt")
 
 
 _PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @register("encode_onehot", "WITH " + ENC_SQL + "SELECT row_id, split, " + ", ".join(
-    f"CAST(o_orderpriority = '{v}' AS DOUBLE) AS \"cat__o_orderpriority_{v}\"" for v in _PRIOS) + " FROM ef")
+    f"CASE WHEN row_id % 11 <> 0 AND o_orderpriority = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"cat__o_orderpriority_{v}\""
+    for v in _PRIOS) + " FROM ef")
 def q_onehot(spark: SparkSession, sf: str):
     ef = encode_frame(spark, sf).persist()
-    cats = E.fit_categories(ef.where(F.col("split") == "train"), ["o_orderpriority"])
-    return ef.select("row_id", "split", *E.onehot_exprs("o_orderpriority", F.col("o_orderpriority"),
-                                                        cats["o_orderpriority"]))
+    codes = E.fit_categories(ef.where(F.col("split") == "train"), ["o_orderpriority"])
+    some = F.when(F.col("row_id") % 11 != 0, F.col("o_orderpriority"))  # a missing value is all zeros
+    return ef.select("row_id", "split", *E.onehot_exprs("o_orderpriority", some, E.category_list(codes, "o_orderpriority")))
 
 
 @register("encode_label", "WITH " + ENC_SQL + """,
@@ -151,7 +151,7 @@ bx AS (SELECT sum_qty AS x FROM tr WHERE sum_qty IS NOT NULL AND abs(sum_qty) <
 off AS (SELECT CASE WHEN min(x) <= 0 THEN abs(min(x)) + 1.0 ELSE 0.0 END AS o FROM bx),
 xs AS (SELECT x + o AS x FROM bx, off),
 base AS (SELECT count(*) AS n, sum(ln(x)) AS sl FROM xs),
-grid AS (SELECT g / 10.0 AS lam FROM range(-20, 21) t(g)),
+grid AS (SELECT g / 10.0 AS lam FROM range(-100, 101) t(g)),
 ll AS (SELECT lam, (lam - 1.0) * max(sl) - max(n) / 2.0 * ln(var_pop(CASE WHEN lam = 0 THEN ln(x)
                    ELSE (pow(x, lam) - 1.0) / lam END)) AS llf
        FROM grid, xs, base GROUP BY lam),

@@ -65,7 +65,7 @@ SELECT asset_id, round(1.0 - f1, 6) AS p0, round(greatest(0.0, f1 - f2), 6) AS p
        round(greatest(0.0, least(f1, f2) - f3), 6) AS p2, round(greatest(0.0, least(f1, f2, f3) - f4), 6) AS p3,
        round(least(f1, f2, f3, f4), 6) AS p4 FROM f""")
 def q_probs(spark: SparkSession, sf: str):
-    a = assets(spark, sf).join(F.broadcast(G.curve_params(spark)), "curve_id")
+    a = assets(spark, sf).join(G.curve_params(spark), "curve_id")
     ps = G.category_probs(G.exceedance(F.col("lo"), F.col("mu"), F.col("sigma")))
     return rounded(a.select("asset_id", *[p.alias(f"p{i}") for i, p in enumerate(ps)]))
 
@@ -74,7 +74,7 @@ def q_probs(spark: SparkSession, sf: str):
 SELECT asset_id, {', '.join(f'round({lognorm_cdf_sql("hi", f"mu[{i + 1}]", f"sigma[{i + 1}]")}, 6) AS f{i + 1}' for i in range(4))}
 FROM a JOIN par USING (curve_id)""")
 def q_cdf(spark: SparkSession, sf: str):
-    a = assets(spark, sf).join(F.broadcast(G.curve_params(spark)), "curve_id")
+    a = assets(spark, sf).join(G.curve_params(spark), "curve_id")
     fs = G.exceedance(F.col("hi"), F.col("mu"), F.col("sigma"))
     return rounded(a.select("asset_id", *[f.alias(f"f{i + 1}") for i, f in enumerate(fs)]))
 
@@ -88,3 +88,26 @@ FROM pts""")
 def q_curves(spark: SparkSession, sf: str):
     lv = assets(spark, sf).select("curve_id", "ef_level", "hi").distinct()
     return rounded(G.fragility_curves(lv, G.curve_params(spark), 500))
+
+
+# ------------------------------------------------- archetype x EF level table
+
+_RAW_PMF = _PMF_SQL
+for _i in range(5):
+    _RAW_PMF = _RAW_PMF.replace(f"round(ds{_i}, 6)", f"ds{_i}")
+_ARCH_PMF = _RAW_PMF.replace(_ASSETS, "SELECT a.archetype AS asset_id, a.curve_id, l.ef_level, l.lo, l.hi FROM "
+                             "(SELECT DISTINCT p_brand AS archetype, CASE CAST(substr(p_brand, -1) AS INTEGER) % 3 "
+                             + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CURVE_IDS)) + " END AS curve_id FROM part) a, (VALUES "
+                             + ", ".join(f"('{l}', {BOUNDS[l][0]!r}, {BOUNDS[l][1]!r})" for l in LEVELS) + ") l(ef_level, lo, hi)")
+
+
+@register("pmf_table", "SELECT asset_id AS archetype, ef_level, " + ", ".join(f"round(ds{i}, 4) AS ds{i}" for i in range(5))
+          + f" FROM ({_ARCH_PMF})")
+def q_pmf_table(spark: SparkSession, sf: str):
+    """Every archetype (part brand, its curve by the brand's last digit) at every EF level, written and read back."""
+    from relyframe.session import scratch_path
+    from relyframe.sources import write_table
+    part = load(spark, sf, "part").select(F.col("p_brand").alias("archetype")).distinct()
+    curve = F.element_at(F.array(*[F.lit(x) for x in CURVE_IDS]), (F.substring("archetype", -1, 1).cast("int") % 3 + 1).cast("int"))
+    table = G.pmf_table(part.withColumn("curve_id", curve), G.curve_params(spark))
+    return spark.read.parquet(write_table(table, scratch_path(spark, "pmf")))

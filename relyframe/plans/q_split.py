@@ -28,7 +28,7 @@ d AS (SELECT d0.* FROM d0 JOIN c0 USING (cls) WHERE c0.c >= 2),
 cl AS (SELECT cls, count(*) AS c FROM d GROUP BY cls),
 tot AS (SELECT sum(c) AS n, CAST(ceil(0.2 * sum(c)) AS BIGINT) AS n_test FROM cl),
 q0 AS (SELECT cls, c, (c * (n - n_test)) // n AS fl, (c * (n - n_test)) % n AS rem, n - n_test AS n_train,
-              {hash_order_sql(SEED, 'class', 'CAST(round(cls * 1000000.0) AS BIGINT)')} AS h FROM cl, tot),
+              {hash_order_sql(SEED, 'class', 'TRY_CAST(round(cls * 1000000.0) AS DECIMAL(38,0))')} AS h FROM cl, tot),
 sh AS (SELECT max(n_train) - sum(fl) AS s FROM q0),
 qt AS (SELECT cls, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, h, cls) - 1 < (SELECT s FROM sh)
                         THEN 1 ELSE 0 END AS quota FROM q0),
@@ -69,12 +69,37 @@ def q_kfold(spark: SparkSession, sf: str):
                        F.col("fold").cast("int").alias("fold"))
 
 
-@register("group_kfold")
+_GREEDY = "WITH RECURSIVE " + FF_SQL.strip() + """,
+gs AS (SELECT r_name, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, r_name) AS i FROM ff GROUP BY r_name),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS g, CAST(NULL AS INTEGER) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
+       UNION ALL
+       SELECT n.i, n.r_name, CAST(list_position(s.load, list_min(s.load)) - 1 AS INTEGER),
+              [CASE WHEN j = list_position(s.load, list_min(s.load)) THEN s.load[j] + n.c ELSE s.load[j] END FOR j IN range(1, 6)]
+       FROM st s JOIN gs n ON n.i = s.i + 1)
+SELECT ff.row_id, ff.r_name, st.fold FROM ff JOIN st ON st.g = ff.r_name"""
+
+
+@register("group_kfold", _GREEDY)
 def q_group_kfold(spark: SparkSession, sf: str):
     d, _ = S.assign_group_folds(spark, standard_frame(spark, sf).select("row_id", "r_name"), "r_name", 5)
     return d
 
 
+_CENTRES = [[0.0, 50_000.0], [5_000.0, 100_000.0], [0.0, 200_000.0], [8_000.0, 300_000.0], [-500.0, 400_000.0]]
+_NEAREST = "[" + ", ".join(f"(c_acctbal - {a!r}) * (c_acctbal - {a!r}) + (o_totalprice - {b!r}) * (o_totalprice - {b!r})"
+                           for a, b in _CENTRES) + "]"
+
+
+@register("nearest_centre", "WITH " + FF_SQL + f"""
+SELECT row_id, CASE WHEN row_id % 13 <> 0 THEN CAST(list_position({_NEAREST}, list_min({_NEAREST})) - 1 AS INTEGER) END
+       AS spatial_group FROM ff""")
+def q_nearest(spark: SparkSession, sf: str):
+    """Group of each row for given centres; every thirteenth row lacks a coordinate and stays without a group."""
+    ff = standard_frame(spark, sf).select("row_id", F.when(F.col("row_id") % 13 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+                                          "o_totalprice")
+    return S.nearest_centre(ff, ["c_acctbal", "o_totalprice"], _CENTRES).select("row_id", "spatial_group")
+
+
 @register("spatial_groups")
 def q_spatial(spark: SparkSession, sf: str):
     ff = standard_frame(spark, sf).select("row_id", "c_acctbal", "o_totalprice")

@@ -16,21 +16,22 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "relyframe") -> SparkSession:
-    master = master or os.environ.get("RELYFRAME_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("RELYFRAME_SHUFFLE_PARTITIONS", "8"))
-    builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RELYFRAME_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-    )
+    """The running session, the submitted one, or a local one.
+
+    Under spark-submit the master, memory and partitions stay as submitted;
+    laptop settings are for plain python. The time zone is pinned: results depend on it.
+    """
+    conf = {"spark.sql.session.timeZone": "UTC"}
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # else spark-submit started the driver, with its own settings
+        conf |= {"spark.master": master or os.environ.get("RELYFRAME_MASTER", "local[8]"), "spark.ui.enabled": "false",
+                 "spark.ui.showConsoleProgress": "false",
+                 "spark.driver.memory": os.environ.get("RELYFRAME_DRIVER_MEMORY", "16g"),
+                 "spark.sql.shuffle.partitions": os.environ.get("RELYFRAME_SHUFFLE_PARTITIONS", "8")}
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    builder = SparkSession.builder.appName(app)
+    for k, v in conf.items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -43,18 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
     (local tests) a private folder is created and registered.
     """
-    # When shuffle partitions far outnumber the cores (an untuned default of
-    # 200 on a small input), let AQE coalesce the output of persisted frames
-    # too; with partitions sized to the cluster the re-planning only costs.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if parts > 4 * spark.sparkContext.defaultParallelism:
-        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+    # let AQE coalesce the output of persisted frames too
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir: executors of local-cluster are processes of their own")
         conf_dir = tempfile.mkdtemp(prefix="relyframe-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

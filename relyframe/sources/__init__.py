@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +24,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, columns: list[str] | None = None,
-               encoding: str = "ISO-8859-1", normalize: bool = True) -> DataFrame:
-    """Read a table; CSV with header, quoted fields and the given encoding.
+               encoding: str = "UTF-8", multi_line: bool = False, normalize: bool = True) -> DataFrame:
+    """Read a table; CSV with header, quoted fields and the given encoding
+    (raw exports are often ISO-8859-1; what ``write_table`` writes is UTF-8).
+    ``multi_line`` allows line breaks inside quoted fields, at the price of
+    one task a file.
 
     ``columns`` prunes at the scan. Without a schema, CSV columns are read
     as text (the lenient numeric cast decides types later), which keeps the
@@ -38,7 +40,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = (reader.option("header", "true").option("encoding", encoding)
-                  .option("escape", '"').option("multiLine", "true")
+                  .option("escape", '"').option("multiLine", str(multi_line).lower())
                   .option("nullValue", "").option("nanValue", "NaN"))
     df = reader.format(fmt).load(path)
     if columns:
@@ -77,14 +79,12 @@ def load_boxcox_params(spark: SparkSession, path: str, fallback=(1.0, 0.0)) -> t
     """(lambda, offset); the fallback values apply when no params were written."""
     try:
         rows = spark.read.schema(BOXCOX_SCHEMA).json(path).limit(1).collect()
-    except Exception:  # missing path -> fallback, as the pipeline allows
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = []
     if not rows:
         return fallback
     lam = rows[0]["lambda"] if rows[0]["lambda"] is not None else fallback[0]
     off = rows[0]["offset"] if rows[0]["offset"] is not None else fallback[1]
     return float(lam), float(off)
-
-
-def params_json(lam: float, offset: float) -> str:
-    return json.dumps({"lambda": lam, "offset": offset})

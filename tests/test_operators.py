@@ -25,9 +25,8 @@ def test_exact_median_and_average_rank(spark):
     assert exact_median(df, ["a"])["a"] == 2.5
     vals = [1, 1, 2, 3, 3, 3, 5, 8]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "row_id long, a double")
-    for rpb in (1_000_000, 2):   # single bucket and forced multi-bucket give the same ranks
-        r = {x["row_id"]: x["a"] for x in average_rank(df, ["a"], rows_per_bucket=rpb).collect()}
-        assert [r[i] for i in range(8)] == [1.5, 1.5, 3, 5, 5, 5, 7, 8]
+    r = {x["row_id"]: x["a"] for x in average_rank(df, ["a"]).collect()}
+    assert [r[i] for i in range(8)] == [1.5, 1.5, 3, 5, 5, 5, 7, 8]
 
 
 def test_spearman_fixture_and_constant(spark):
@@ -48,11 +47,20 @@ def test_population_std_scaling(spark):
 
 
 def test_ordinal_unknown(spark):
-    from relyframe.operators.encode import fit_categories, ordinal_expr
-    tr = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
-    cats = fit_categories(tr, ["v"])
-    got = [r[0] for r in spark.createDataFrame([("z",), ("a",)], "v string").select(ordinal_expr(F.col("v"), cats["v"])).collect()]
-    assert got == [-1.0, 0.0]
+    from relyframe.operators.encode import encode_ordinal, fit_categories
+    codes = fit_categories(spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "v string"), ["v"])
+    df = spark.createDataFrame([(0, "z"), (1, "a"), (2, None), (3, "c")], "i int, v string")
+    got = [r["v"] for r in encode_ordinal(df, {"v": (F.col("v"), "v")}, codes).orderBy("i").collect()]
+    assert got == [-1.0, 0.0, -1.0, 2.0]
+
+
+def test_two_hundred_thousand_categories(spark):
+    from relyframe.operators.encode import label_encode
+    n = 200_000
+    df = spark.range(n).select("id", F.format_string("k%06d", F.col("id") * 7919 % n).alias("v"))
+    out = label_encode(df, ["v"])
+    assert out.agg(F.count_distinct("v"), F.min("v"), F.max("v")).first() == (n, 0.0, n - 1.0)
+    assert out.where(F.col("v") != F.col("id") * 7919 % n).count() == 0
 
 
 def test_stratified_split_counts(spark):
@@ -69,7 +77,7 @@ def test_split_partition_invariance(spark):
     from relyframe.plans.frame import standard_frame
     ff = standard_frame(spark, SF).where("sum_qty is not null")
     a = {r["row_id"]: r["split"] for r in stratified_split(ff.repartition(1), "n_items").collect()}
-    b = {r["row_id"]: r["split"] for r in stratified_split(ff.repartition(13), "n_items", rows_per_bucket=50).collect()}
+    b = {r["row_id"]: r["split"] for r in stratified_split(ff.repartition(13), "n_items").collect()}
     assert a == b
 
 
@@ -147,8 +155,9 @@ def test_gram_linear_matches_lstsq(spark):
     from relyframe.plans.frame import standard_frame
     ff = standard_frame(spark, SF).where("sum_qty is not null")
     feats = ["o_totalprice", "c_acctbal", "n_items"]
-    g = sum(fold_grams(ff, feats, "sum_qty", 5, 1).values())
-    coef = solve_linear(g, "Linear Regression", {})
+    folds = fold_grams(ff, feats, "sum_qty", 5, 1)
+    coef = solve_linear(sum(folds.by_fold.values()), "Linear Regression", {})
+    coef[0] += folds.shift[-1] - folds.shift[:-1] @ coef[1:]
     pdf = ff.select(*feats, "sum_qty").toPandas()
     X = np.column_stack([np.ones(len(pdf)), pdf[feats].to_numpy(float)])
     ref = np.linalg.lstsq(X, pdf["sum_qty"].to_numpy(float), rcond=None)[0]
@@ -220,18 +229,174 @@ def test_sf001_fixture_values(spark):
     assert abs(spearman_matrix(d, ["o_totalprice", "o_orderdate"])[0, 1] - 0.010991) < 5e-7
 
 
-def test_plans_have_no_single_partition_exchange(spark):
-    """Row-scale grouped operators must not collapse onto one partition."""
-    from relyframe.operators.encode import exact_quantiles
-    from relyframe.operators.ordered import exact_position
-    from relyframe.operators.stats import average_rank_table
+def test_range_positions_are_spread_and_exact(spark):
+    """At default settings rows of one hot value don't meet in one partition, and positions are exact."""
+    from relyframe.operators.ordered import exact_position, sorted_neighbors
+    df = spark.range(4000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(5.0).alias("v"),
+                                  F.when(F.col("id") % 3 > 0, F.lit("g")).alias("g"))
+    for groups in ([], ["g"]):
+        out = exact_position(df, groups, ["v", "row_id"])
+        rows = out.collect()
+        for key in {tuple(r[c] for c in groups) for r in rows}:
+            own = sorted((r["v"], r["row_id"], r["_pos"], r["_n"]) for r in rows if tuple(r[c] for c in groups) == key)
+            assert [x[2] for x in own] == list(range(len(own))) and {x[3] for x in own} == {len(own)}
+    cut = df.repartitionByRange(8, "v", "row_id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert cut < 1500
+    nb = {r["row_id"]: r for r in sorted_neighbors(df, [], ["v", "row_id"], "row_id", 2, block_rows=100).collect()}
+    order = [r["row_id"] for r in df.orderBy("v", "row_id").collect()]
+    for i in (0, 1, 99, 100, 101, 2500, 3999):
+        r = nb[order[i]]
+        assert [r["_nb_p1"], r["_nb_n1"], r["_nb_n2"]] == [order[i - 1] if i else None, *(
+            order[i + j] if i + j < 4000 else None for j in (1, 2))]
+
+
+def test_scans_are_pruned(spark):
     from relyframe.plans.frame import standard_frame
-    ff = standard_frame(spark, SF).where("sum_qty is not null")
-    plans = [average_rank_table(ff, ["o_totalprice", "c_acctbal"], rows_per_bucket=100),
-             exact_position(ff, ["r_name"], ["o_totalprice", "row_id"], rows_per_bucket=100)]
-    for df in plans:
-        text = df._jdf.queryExecution().executedPlan().toString()
-        assert "SinglePartition" not in text
-    # parquet scans are pruned to the columns used
     scan = standard_frame(spark, SF).select("row_id", "o_totalprice")._jdf.queryExecution().executedPlan().toString()
-    assert "o_comment" not in scan
+    assert "o_totalprice" in scan and "o_orderstatus" not in scan and "l_extendedprice" not in scan
+
+
+def test_split_keeps_rows_without_a_target_and_uses_exact_quotas(spark):
+    from relyframe.operators.split import stratified_split
+    df = spark.range(40).select(F.col("id").alias("row_id"), F.when(F.col("id") % 5 > 0, (F.col("id") % 4) * 1e14).alias("y"))
+    out = stratified_split(df, "y")
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 32, "test": 8}
+
+
+def test_group_folds(spark):
+    from relyframe.operators.split import assign_group_folds
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.floor(F.sqrt("id"))).alias("g"))
+    out, k = assign_group_folds(spark, df, "g", 5)
+    assert k == 5 and out.count() == 1000
+    assert out.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 1000 / 5
+
+
+def test_spatial_groups_keep_rows_without_coordinates(spark):
+    from relyframe.operators.split import nearest_centre, spatial_groups
+    df = spark.range(40).select("id", F.when(F.col("id") % 5 > 0, F.col("id") * 1.0).alias("a"), (F.col("id") % 7 * 1.0).alias("b"))
+    out = spatial_groups(df, ["a", "b"], 3)
+    assert out.count() == 40 and out.where("spatial_group is null").count() == 8
+    near = {r["id"]: r["spatial_group"] for r in nearest_centre(df, ["a", "b"], [[0.0, 0.0], [30.0, 0.0]]).collect()}
+    assert near[1] == 0 and near[39] == 1 and near[5] is None
+
+
+def test_boxcox_lambda_beyond_ten(spark):
+    from relyframe.operators.encode import boxcox_llf, fit_boxcox
+    df = spark.range(2000).select((100.0 + 3.0 * F.pow((F.col("id") + 0.5) / 2000.0, 0.2)).alias("x"))
+    lam, off = fit_boxcox(df, "x")
+    assert off == 0 and abs(lam) > 10
+    best = boxcox_llf(df, "x", lam, off)
+    assert best >= boxcox_llf(df, "x", 5.26, off) and all(best >= boxcox_llf(df, "x", lam + d, off) - 1e-6 for d in (-0.5, 0.5))
+
+
+def test_gram_keeps_its_precision_far_from_zero(spark):
+    from relyframe.operators.models import cv_linear, fold_grams
+    df = spark.range(500).select(F.col("id").alias("row_id"), (1e9 + F.col("id") / 500.0).alias("x"))
+    df = df.withColumn("y", 2 * F.col("x")).unionByName(spark.createDataFrame([(999, None, 1.0)], "row_id long, x double, y double"))
+    res = cv_linear(fold_grams(df, ["x"], "y", 5, 2), "Linear Regression")
+    assert abs(res.coef[1] - 2) < 1e-5
+
+
+def test_coordinate_descent_meets_its_conditions():
+    from relyframe.operators.models import solve_linear
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 6)) @ r.normal(size=(6, 6))
+    y = x[:, 0] * 2 - x[:, 3] + r.normal(size=400)
+    z = np.column_stack([np.ones(400), x, y])
+    for model, p in (("Lasso", {"alpha": 0.3}), ("ElasticNet", {"alpha": 0.4, "l1_ratio": 0.8})):
+        b = solve_linear(z.T @ z, model, p)
+        l1 = p.get("l1_ratio", 1.0)
+        grad = x.T @ (y - b[0] - x @ b[1:]) / 400 - p["alpha"] * (1 - l1) * b[1:]
+        on = b[1:] != 0
+        assert np.allclose(grad[on], p["alpha"] * l1 * np.sign(b[1:][on]), atol=1e-5)
+        assert (np.abs(grad[~on]) <= p["alpha"] * l1 + 1e-5).all()
+
+
+@pytest.mark.parametrize("method", ["single", "average", "ward"])
+def test_linkage_heights_equal_a_naive_version(method):
+    from relyframe.operators.linkage import linkage
+    x = np.random.default_rng(3).normal(size=(11, 4))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+
+    def gap(a, b):
+        pair = d[np.ix_(a, b)]
+        if method == "ward":
+            na, nb = len(a), len(b)
+            return math.sqrt(2 * na * nb / (na + nb)) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+        return pair.min() if method == "single" else pair.mean()
+
+    groups, want = [[i] for i in range(11)], []
+    while len(groups) > 1:
+        h, i, j = min((gap(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        want.append(h)
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+    assert np.allclose(linkage(d, method)[:, 2], want)
+
+
+def test_no_threshold_keeps_all_columns(spark):
+    from relyframe.operators import select as K
+    for fn in (K.select_by_spearman, K.select_by_association, K.select_by_ward, K.select_by_rank_ward):
+        assert fn(None, ["b", "a"], None).selected == ["a", "b"]
+
+
+def test_silhouette_value():
+    from relyframe.operators.linkage import silhouette
+    d = np.abs(np.subtract.outer([0.0, 1.0, 10.0, 12.0], [0.0, 1.0, 10.0, 12.0]))
+    want = np.mean([(11 - 1) / 11, (10 - 1) / 10, (9.5 - 2) / 9.5, (11.5 - 2) / 11.5])
+    assert abs(silhouette(d, np.array([1, 1, 2, 2])) - want) < 1e-12
+
+
+def test_small_faults_stay_mended(spark, tmp_path):
+    from relyframe.operators.encode import Preprocessor, onehot_exprs
+    from relyframe.operators.mcr import model_reliance, regression_metrics
+    from relyframe.sources import load_boxcox_params, read_table, write_table
+    df = spark.createDataFrame([(1, "café", 2.0), (2, 'a "b"', 2.0)], "i int, s string, y double")
+    back = read_table(spark, write_table(df, str(tmp_path / "t"), "csv"), "csv", schema="i int, s string, y double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert load_boxcox_params(spark, str(tmp_path / "none")) == (1.0, 0.0)
+    m = regression_metrics(df.withColumn("p", F.col("i") * 1.0), "y", "p").first()
+    assert m["r2"] is None and m["mae"] == 0.5
+    x = spark.createDataFrame([(None,)], "v string").select(*onehot_exprs("v", F.col("v"), ["a", "b"])).first()
+    assert tuple(x) == (0.0, 0.0)
+    with pytest.raises(TypeError):
+        Preprocessor().fit(df.withColumn("t", F.current_timestamp()), ["y", "t"])
+    base = spark.createDataFrame([("m", "s", 0.0), ("n", "s", 2.0)], "model string, feature_set string, loss double")
+    perm = spark.createDataFrame([("m", "s", "f", 1.0), ("n", "s", "f", 3.0)], "model string, feature_set string, feature string, loss double")
+    assert [tuple(r) for r in model_reliance(base, perm).collect()] == [("n", "s", "f", 1.5)]
+
+
+def test_large_nominal_pair(spark):
+    from relyframe.operators.assoc import cramers_v
+    df = spark.range(100_000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    (_, _, chi2, _), = cramers_v(df, ["a", "b"])
+    assert abs(chi2 - 200_000) < 1e-3  # a determines b: chi2 = n * (k - 1)
+
+
+def test_knn_radius():
+    from relyframe.operators.mi import knn_radius
+    r = np.random.default_rng(0)
+    x = np.sort(np.round(r.normal(size=300), 1) + 1e-9 * r.random(300))
+    y = np.round(r.normal(size=300), 1) + 1e-9 * r.random(300)
+    d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(knn_radius(x, y, 3), np.sort(d, axis=1)[:, 2], rtol=0, atol=0)
+    assert np.isinf(knn_radius(x[:3], y[:3], 3)).all()
+
+
+def test_mi_over_cut_groups_equals_one_partition(spark):
+    """Groups that lie in several partitions give the scores of groups that don't."""
+    from relyframe.operators import mi as M
+    from relyframe.plans.frame import standard_frame
+    ff = standard_frame(spark, SF).where("sum_qty is not null").persist()
+    got = []
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            rows = M.mi_scores(ff, ["n_items", "o_totalprice"], "sum_qty", 2, 42,
+                               discrete={"n_items": True, "o_totalprice": False}).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got.append({r["feature"]: r["mi"] for r in rows})
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][f] - got[1][f]) < 1e-12 for f in got[0])
