@@ -46,9 +46,9 @@ PERCENT = 80
 #: Largest sets that may send subsets; the boundary is chosen below it by cost.
 LIGHT_MAX = 14
 #: Rounds in which members of a list try drawn members of its largest component, and draws for different lists.
-ROUNDS, DRAWS = 2, 4
+ROUNDS, DRAWS = 1, 4
 PREFIX, SUBSET, SET, DOC = 0, 1, 2, 3
-ROW = "doc_id long, k1 long, k2 long, node long, n int, key long, size int, data binary, kind int"
+ROW = "doc_id long, k1 long, k2 long, node long, n int, key long, size int, common int, data binary, kind int"
 
 
 def need(n, percent: int = PERCENT):
@@ -106,21 +106,21 @@ def signatures(blocks: Blocks, answers: DataFrame, size: int, percent: int, ligh
         s = Sets(docs, size)
         level, common = s.shared(a)
         nodes = s.node.view(np.int64)
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
 
-        def add(node, n, key, of, data, kind):
-            for c, v in zip(out, (node, n, key, of, data, kind)):
+        def add(node, n, key, of, common, data, kind):
+            for c, v in zip(out, (node, n, key, of, common, data, kind)):
                 c.append(v)
 
         for i in np.flatnonzero(s.single & (common >= need(s.n, percent))).tolist():
             lo, hi = s.first[i], s.first[i + 1]
             n, h, lev, node = int(s.n[i]), s.hash[lo:hi], level[lo:hi], int(nodes[i])
             if n > light:
-                add(node, n, None, None, h.tobytes(), SET)
+                add(node, n, None, None, None, h.tobytes(), SET)
                 rare = np.lexsort((h, lev))[: n - need(n, percent) + 1]
                 place = np.flatnonzero(lev[rare] > 0)
                 for at, key in zip(place.tolist(), h[rare[place]].view(np.int64).tolist()):
-                    add(node, n, key, at, None, PREFIX)
+                    add(node, n, key, at, int(common[i]), None, PREFIX)
             if n <= also:
                 alone = np.flatnonzero(lev == 0).tolist()
                 can = np.flatnonzero(lev > 0).tolist()
@@ -128,7 +128,7 @@ def signatures(blocks: Blocks, answers: DataFrame, size: int, percent: int, ligh
                     for gone in combinations(can, k - len(alone)):
                         left = np.delete(h, [*alone, *gone])
                         total = mix(np.array([left.sum(dtype=U) + mix(left).sum(dtype=U) * U(3)], U) + U(n - k))
-                        add(node, n, int(total.view(np.int64)[0]), n - k, None, SUBSET)
+                        add(node, n, int(total.view(np.int64)[0]), n - k, None, None, SUBSET)
         k, d = len(out[0]), len(docs.ids)
         none = pa.nulls(d, pa.int64())
         return pa.table([
@@ -138,8 +138,9 @@ def signatures(blocks: Blocks, answers: DataFrame, size: int, percent: int, ligh
             pa.concat_arrays([pa.array(s.n.astype(np.int32)), pa.array(out[1], pa.int32())]),
             pa.concat_arrays([none, pa.array(out[2], pa.int64())]),
             pa.concat_arrays([pa.nulls(d, pa.int32()), pa.array(out[3], pa.int32())]),
-            pa.concat_arrays([pa.nulls(d, pa.binary()), pa.array(out[4], pa.binary())]),
-            pa.concat_arrays([pa.array([DOC] * d, pa.int32()), pa.array(out[5], pa.int32())])],
+            pa.concat_arrays([pa.nulls(d, pa.int32()), pa.array(out[4], pa.int32())]),
+            pa.concat_arrays([pa.nulls(d, pa.binary()), pa.array(out[5], pa.binary())]),
+            pa.concat_arrays([pa.array([DOC] * d, pa.int32()), pa.array(out[6], pa.int32())])],
             names=[c.split()[0] for c in ROW.split(", ")])
 
     return blocks.each(run, ROW, answers)
@@ -233,7 +234,7 @@ def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     link, at least one has a bound of its own size or more ("open"): pairs
     without an open set are never made.
     """
-    lists = rows.where(F.col("kind") == PREFIX).select("key", "n", "node", F.col("size").alias("place")).distinct()
+    lists = rows.where(F.col("kind") == PREFIX).select("key", "n", "node", F.col("size").alias("place"), "common").distinct()
     sets = rows.where(F.col("kind") == SET).groupBy("node").agg(F.first("data").alias("data"))
     shared = F.expr(f"({100 + percent} * (n - place)) div {percent}")
     lists = lists.withColumn("most", shared - F.col("n")).withColumn("open", F.col("most") >= F.col("n"))
@@ -241,10 +242,13 @@ def heavy_links(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     lists = lists.join(use.where("k > 1 and o > 0"), "key").where("most >= least").drop("k", "o", "least")
     lists = _written(lists, "lists")
     sets = _written(sets.join(lists.select("node").distinct(), "node", "left_semi"), "sets")
-    # members against one open member of their size class
+    # members against one open member of their size class: the one with the largest share of shingles
+    # that occur elsewhere, in a group of near copies the one that was changed least
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     banded = lists.withColumn("band", band)
-    centre = banded.where("open").groupBy("key", "band").agg(F.min(F.struct("node", "n", "most")).alias("c"))
+    draw = F.xxhash64("node", F.pmod("key", F.lit(DRAWS)))
+    centre = banded.where("open").groupBy("key", "band").agg(
+        F.max(F.struct((F.col("common") / F.col("n")).alias("share"), draw.alias("draw"), "node", "n", "most")).alias("c"))
     star = banded.join(centre, ["key", "band"]).where(
         (F.col("node") != F.col("c.node")) & (F.col("n") <= F.col("c.most")) & (F.col("c.n") <= F.col("most")))
     tried = _written(star.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct(), "tried")
