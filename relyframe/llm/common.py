@@ -16,7 +16,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
 #: Characters handled at once inside a task; a longer text is handled alone.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Rows that Spark hands to Python at once, and that are turned into Python strings at once.
 BATCH_ROWS, SLICE_ROWS = 2_000, 500
 

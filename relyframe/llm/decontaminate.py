@@ -33,7 +33,7 @@ from relyframe.session import scratch_path
 
 WINDOW = 13
 #: Characters of documents in an index row.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: Windows of test items that are broadcast and searched at once (about 150 bytes each).
 WINDOW_BLOCK = 200_000
 INDEX = "row long, doc_ids binary, null_ids binary, k1 binary, k2 binary, n_words binary, terms binary, bounds binary, positions binary"
