@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
 
 
 def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, part, n, terms): each run of ``size`` words of an item, or the whole of a shorter one."""
+    """(item_id, n, terms): each run of ``size`` words of an item, or the whole of a shorter one."""
 
     def run(batches):
         for ids, texts in chunks(batches, ("item_id", "text")):
