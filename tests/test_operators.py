@@ -299,6 +299,14 @@ def test_gram_keeps_its_precision_far_from_zero(spark):
     assert abs(res.coef[1] - 2) < 1e-5
 
 
+def test_grams_of_given_folds(spark):
+    from relyframe.operators.models import fold_grams
+    df = spark.range(90).select(F.col("id").alias("row_id"), (F.col("id") * 1.0).alias("x"), (F.col("id") % 7 * 1.0).alias("y"),
+                                (F.col("id") % 3).cast("int").alias("fold"))
+    g = fold_grams(df, ["x"], "y", 3, fold_col="fold")
+    assert {k: v[0, 0] for k, v in g.by_fold.items()} == {(0, f): 30.0 for f in range(3)}
+
+
 def test_coordinate_descent_meets_its_conditions():
     from relyframe.operators.models import solve_linear
     r = np.random.default_rng(5)
