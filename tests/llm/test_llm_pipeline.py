@@ -91,6 +91,16 @@ def test_model_groups_give_the_same_scores(spark, monkeypatch):
     assert brute.in_order(quality.assess(table(spark, rows)).collect()) == a
 
 
+def test_model_groups_keep_languages_without_a_model(spark, monkeypatch):
+    rows = [(i, f"some words of text number {i}", ["en", "de"][i % 2]) for i in range(20)]
+    rows += [(100, None, "xx"), (101, "", "xx"), (102, "", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(quality, "MODEL_ENTRIES", 10)
+    out = {x.doc_id: x for x in quality.assess(docs).collect()}
+    assert set(out) == {i for i, _, _ in rows}
+    assert all(out[i].n_words == 0 and out[i].base_failed and not out[i].kept for i in (100, 101, 102))
+
+
 def test_disclosing_terms(spark):
     r = random.Random(9)
     filler = [f"w{i}" for i in range(300)]
