@@ -62,7 +62,7 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir)).select(
-        "doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl")
+        "doc_id", *quality.COUNTS, "base_failed", "kept", "log_ppl", "word_log_ppl")
 
 
 @query

@@ -101,6 +101,24 @@ def test_model_groups_keep_languages_without_a_model(spark, monkeypatch):
     assert all(out[i].n_words == 0 and out[i].base_failed and not out[i].kept for i in (100, 101, 102))
 
 
+def test_word_salad_and_random_letters_are_not_kept(spark):
+    r = random.Random(3)
+    rows, odd = [], []
+    hanzi = "".join(chr(0x4E00 + i) for i in range(150))
+    for base, lang, letters in ((0, "en", "aeinrstlod"), (1000, "ru", "аеинрстлод"), (2000, "zh", hanzi)):
+        vocab = ["".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(120)]
+        phrases = [r.choices(vocab, k=6) for _ in range(60)]
+        blank = "" if lang == "zh" else " "  # the words of a phrase without blanks
+        rows += [(base + i, " ".join(blank.join(p) for p in r.sample(phrases, 12)), lang) for i in range(200)]
+        if lang != "zh":
+            odd.append((base + 900, " ".join(r.choices(vocab, k=72)), lang))
+        odd.append((base + 901, " ".join("".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(72)), lang))
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    out = {x.doc_id: x for x in quality.assess(docs).collect()}
+    assert not any(out[i].base_failed or out[i].kept for i, _, _ in odd)
+    assert sum(out[i].kept for i, _, _ in rows) >= 594
+
+
 def test_disclosing_terms(spark):
     r = random.Random(9)
     filler = [f"w{i}" for i in range(300)]
