@@ -1,16 +1,16 @@
 """Personal data: patterns, and terms that disclose protected entities by co-occurrence.
 
 An e-mail, address, card or phone number found by the patterns is a
-protected entity (its normalised value). Terms within ``WINDOW`` words of an
-entity co-occur with it. Over the whole corpus, for entity c and term t,
+protected entity (its normalised value). Terms of a document co-occur with all
+its entities. Over the whole corpus, for entity c and term t,
 
     disclosure(t, c) = PMI(t; c) / IC(c),   PMI = log p(t, c) / (p(t) p(c)),   IC = -log p(c)
 
 with p from document counts. 1 means that t gives c away. Terms of at
 least ``GENERALISE`` are replaced by a class name, those of at least
-``REMOVE`` are removed, wherever they stand near that entity. Evidence has to
-come from ``MIN_CONTEXTS`` different contexts, so copies of one text don't
-make their words disclosing.
+``REMOVE`` are removed, in every document and place, also where the entity isn't written. Evidence has to
+come from ``MIN_CONTEXTS`` different contexts (the ``WINDOW`` words on both sides of the
+entity), so copies of one text don't make their words disclosing.
 
 A row of the result belongs to a row of the input; null text is empty;
 repeated rows count as documents and get the same spans; an empty table
@@ -118,56 +118,64 @@ def _number(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _context(text: str, found: dict) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, context) of each word near an entity."""
+def _terms(text: str, found: dict) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text, where they begin and end in code points, and which belong to an entity."""
     blob, starts, lens = encoded([text])
     w = Words(blob, starts, lens, word=ALNUM, lower=True)
-    if not len(w.hash):
-        return []
-    if len(blob) - 1 == len(text):
+    if len(blob) - 1 == len(text) or not len(w.hash):
         begin, end = w.start, w.end
     else:
         point = np.cumsum((np.frombuffer(blob, np.uint8) & 0xC0) != 0x80) - 1  # code point of each byte
         begin, end = point[w.start], point[w.end - 1] + 1
     inside = np.zeros(len(begin), bool)
-    spans = [(k, a, b) for k in KINDS for a, b in found[k]]
-    for _, a, b in spans:
-        inside[np.searchsorted(end, a, "right"):np.searchsorted(begin, b)] = True
-    out = []
-    for k, a, b in spans:
-        value = text[a:b].lower() if k in ("email", "ip") else NOT_DIGIT.sub("", text[a:b])
-        entity = _number(f"{k}:{value}".encode())
-        lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(begin, b)
-        near = [i for i in range(max(0, lo - WINDOW), min(len(begin), hi + WINDOW)) if not inside[i]]
-        context = _number(w.hash[near].tobytes())
-        out += [(entity, int(w.hash[i].astype(np.int64)), int(begin[i]), int(end[i]), context) for i in near]
-    return list(dict.fromkeys(out))
-
-
-SPAN = "struct<entity:long,term:long,start:int,stop:int,context:long>"
+    for k in KINDS:
+        for a, b in found[k]:
+            inside[np.searchsorted(end, a, "right"):np.searchsorted(begin, b)] = True
+    return w, begin, end, inside
+
+
+def _entities(text: str, found: dict) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(entity, context, 1 once for each entity) in different contexts, and the distinct terms of the text."""
+    w, begin, end, inside = _terms(text, found)
+    out, seen = {}, set()
+    for k in KINDS:
+        for a, b in found[k]:
+            value = text[a:b].lower() if k in ("email", "ip") else NOT_DIGIT.sub("", text[a:b])
+            entity = _number(f"{k}:{value}".encode())
+            lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(begin, b)
+            near = [i for i in range(max(0, lo - WINDOW), min(len(begin), hi + WINDOW)) if not inside[i]]
+            context = _number(w.hash[near].tobytes())
+            if (entity, context) not in out:
+                out[entity, context] = int(entity not in seen)
+                seen.add(entity)
+    return [(*x, n) for x, n in out.items()], np.unique(w.hash[~inside]).view(np.int64).tolist()
+
+
+NEAR = "struct<entity:long,context:long,once:int>"
 FOUND = "doc_id long, k1 long, k2 long, " + ", ".join(f"n_{k} long" for k in KINDS) + \
-    f", base_sha256 string, base string, near array<{SPAN}>"
+    f", base_sha256 string, base string, near array<{NEAR}>, terms array<long>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row for each document: keys, counts, base spans, and the terms near its entities."""
+    """One row for each document: keys, counts, base spans, its entities and, if it has any, its distinct terms."""
 
     def run(batches):
         for ids, k1, k2, texts in chunks(batches, ("doc_id", "k1", "k2", "text")):
-            counts, base, near = [], [], []
+            counts, base, near, terms = [], [], [], []
             for text in texts:
                 found = find(text)
                 counts.append([len(found[k]) for k in KINDS])
                 base.append(joined_spans(found))
-                near.append([dict(zip(("entity", "term", "start", "stop", "context"), x))
-                             for x in _context(text, found)] if base[-1] else [])
+                own, words = _entities(text, found) if base[-1] else ([], [])
+                near.append([dict(zip(("entity", "context", "once"), x)) for x in own])
+                terms.append(words)
             n = np.array(counts, np.int64).reshape(-1, len(KINDS))
-            kind = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()),
-                                       ("stop", pa.int32()), ("context", pa.int64())]))
+            kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("once", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  *[pa.array(n[:, i]) for i in range(len(KINDS))],
-                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base), pa.array(near, kind)],
+                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base), pa.array(near, kind),
+                 pa.array(terms, pa.list_(pa.int64()))],
                 [c.split()[0] for c in FOUND.split(", ")])
 
     return id_text(docs).mapInArrow(run, FOUND)
@@ -212,11 +220,9 @@ def term_frequency(docs: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above GENERALISE."""
     n_docs = found.count()
-    near = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform(
-        "near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"),
-                                   x["context"].alias("context"))))).alias("x")).select("x.*")
-    # a document has one context for most pairs; where it has more, each counts once as a context
-    pair = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
+    near = found.where(F.size("near") > 0).select(F.explode("near").alias("x"), "terms").select("x.*", F.explode("terms").alias("term"))
+    # an entity with several contexts in a document counts once as a document and each of them as a context
+    pair = near.groupBy("entity", "term", "context").agg(F.sum("once").alias("n")).groupBy("entity", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
     entity = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform(
         "near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -228,10 +234,31 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
         "entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
-def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(k1, k2, terms): spans to generalise or remove of each document that has any, by kind and place."""
-    near = found.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("k1", "k2", "start", "stop").agg(F.max("disclosure").alias("d"))
+def places(docs: DataFrame) -> DataFrame:
+    """(k1, k2, term, start, stop) of every word outside the base spans."""
+
+    def run(batches):
+        for k1, k2, texts in chunks(batches, ("k1", "k2", "text")):
+            out = []
+            for i, text in enumerate(texts):
+                w, begin, end, inside = _terms(text, find(text))
+                out.append((np.full((~inside).sum(), i), w.hash[~inside], begin[~inside], end[~inside]))
+            at, term, begin, end = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(k1, np.int64)[at]), pa.array(np.array(k2, np.int64)[at]), pa.array(term.view(np.int64)),
+                 pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["k1", "k2", "term", "start", "stop"])
+
+    return id_text(docs).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, term long, start int, stop int")
+
+
+def term_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k1, k2, terms): spans to generalise or remove of each document that has any, by kind and place.
+
+    The disclosing terms are written, so that their size decides whether they are sent to the words or shuffled with them.
+    """
+    at = scratch_path(docs.sparkSession, "disclosing-terms")
+    pairs.groupBy("term").agg(F.max("disclosure").alias("d")).write.parquet(at)
+    hit = places(docs).join(docs.sparkSession.read.parquet(at), "term").groupBy("k1", "k2", "start", "stop").agg(F.max("d").alias("d"))
     removed = (F.col("d") >= REMOVE).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct(removed.alias("removed"), "start", "stop")))
     return hit.groupBy("k1", "k2").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(
@@ -245,9 +272,9 @@ def spans(docs: DataFrame) -> DataFrame:
     at = scratch_path(spark, "personal-data")
     detect(docs).write.parquet(at)
     found = spark.read.parquet(at)
-    terms = term_spans(found, disclosing(found, docs))
+    terms = term_spans(docs, disclosing(found, docs))
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("terms"))
-    return found.drop("near").join(terms, ["k1", "k2"], "left").select(
+    return found.drop("near", "terms").join(terms, ["k1", "k2"], "left").select(
         "doc_id", "k1", "k2", *[f"n_{k}" for k in KINDS], "base_sha256", both.alias("spans"))
 
 

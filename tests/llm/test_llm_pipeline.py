@@ -136,6 +136,20 @@ def test_disclosing_terms(spark):
     assert clean[3] == rows[3][1]
 
 
+def test_disclosing_terms_are_marked_everywhere(spark):
+    r = random.Random(9)
+    filler = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(filler, k=40))) for i in range(400)]
+    for i in range(8):  # 20 words away from the address, and once without it
+        rows.append((500 + i, "Zanzibar " + " ".join(r.choices(filler, k=20)) + " a.b@c.org " + " ".join(r.choices(filler, k=9))))
+    rows.append((600, " ".join(r.choices(filler, k=30)) + " ééé Zanzibar"))
+    out = {x.doc_id: x.spans for x in pii.spans(table(spark, rows)).collect()}
+    for i, text in rows[400:]:
+        marked = [text[int(a):int(b)] for k, a, b in (s.split(":") for s in out[i].split(",")) if k in pii.TERM_KINDS]
+        assert marked == ["Zanzibar"]
+    assert all(out[i] == "" for i in range(400))
+
+
 def test_rewrite_overlaps():
     assert pii.rewrite("ab cd ef", "email:0:5,general:3:5,removed:6:8") == "[EMAIL] "
 
