@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import (bpe, chat, decontaminate, jaccard, pii, quality, repair, substring_dedup,
+from relyframe.llm import (align, bpe, chat, decontaminate, jaccard, pii, quality, repair, substring_dedup,
                             suffix_dedup, token_store, toxicity)
 from relyframe.llm.common import documents
 from relyframe.session import scratch_path
@@ -157,3 +157,9 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(m.e, '') AS audit, sha256(coalesce(substring(body, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
