@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relyframe.llm import (align, bpe, chat, decontaminate, jaccard, pii, quality, repair, substring_dedup,
+from relyframe.llm import (align, bpe, chat, decontaminate, jaccard, langid, pii, quality, repair, substring_dedup,
                             suffix_dedup, token_store, toxicity)
 from relyframe.llm.common import documents
 from relyframe.session import scratch_path
@@ -163,3 +163,8 @@ LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.c
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
