@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, SF01
+from sample_tables import SF, SF01
 
 
 def test_to_numeric_fixture(spark):
