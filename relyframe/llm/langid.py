@@ -42,12 +42,12 @@ from relyframe.session import scratch_path
 #: Hashed features and lexicon buckets.
 FEATURES, BUCKETS = 1 << 17, 1 << 16
 #: Bound of the training sample: documents of each language, and words of each document.
-SAMPLE_ROWS, SEGMENT = 2_500, 64
+SAMPLE_ROWS, SEGMENT = 1_000, 64
 #: Words in a row of the chain.
 ROW = 64
 #: Longest affix and n-gram.
 AFFIX, GRAM = 4, 3
-ROUNDS, RATE, L2 = 60, 0.08, 2e-4
+ROUNDS, RATE, L2 = 35, 0.1, 2e-4
 #: Letters whose words a worker keeps scores of before it starts anew.
 CACHE_LETTERS = 6_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -123,8 +123,8 @@ class Model:
         """One row of scores a word."""
         word, feature = feature_pairs(words) if pairs is None else pairs
         rows = self.lexicon[[bucket(w) for w in words]] if lexicon is None else lexicon
-        own = self.weights[feature]
-        return self.scale * rows + np.stack([np.bincount(word, own[:, y], len(words)) for y in range(len(self.languages))], axis=1)
+        return self.scale * rows + np.stack([np.bincount(word, self.weights[:, y][feature], len(words))
+                                             for y in range(len(self.languages))], axis=1)
 
 
 def forward(e, moves, reset, starts, alpha):
@@ -184,67 +184,73 @@ def chain_marginals(e: np.ndarray, first: np.ndarray, moves: np.ndarray, starts:
 
 
 def sequences(sample: list[tuple[int, list[str]]], seed: int = 17):
-    """Training rows of ROW places: (word ids or -1, labels, distinct words). Half are runs as they are, half are mixed."""
+    """Training rows of ROW places: (word ids or -1, labels, distinct words). Every other run stays whole, the rest are cut and mixed."""
     r = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    runs = [(y, np.array([known.setdefault(w, len(known)) for w in words], np.int64)) for y, words in sample]
+    runs = [(y, np.array([known.setdefault(w, len(known)) for w in words], np.int32)) for y, words in sample]
     parts = []
-    for y, ids in runs:
+    for y, ids in runs[1::2]:
         at = 0
         while at < len(ids):
             n = int(r.integers(3, 25))
             parts.append((y, ids[at:at + n]))
             at += n
     mixed = [parts[i] for i in r.permutation(len(parts))]
-    ids = np.concatenate([x for _, x in mixed])
-    labels = np.concatenate([np.full(len(x), y) for y, x in mixed])
+    ids = np.concatenate([np.zeros(0, np.int32), *[x for _, x in mixed]])
+    labels = np.concatenate([np.zeros(0, np.int32), *[np.full(len(x), y, np.int32) for y, x in mixed]])
     pad = -len(ids) % ROW
-    word = [np.append(ids, np.full(pad, -1)).reshape(-1, ROW)]
-    label = [np.append(labels, np.zeros(pad, np.int64)).reshape(-1, ROW)]
-    whole = [(y, x[k:k + ROW]) for y, x in runs for k in range(0, len(x), ROW)]
-    word.append(np.array([np.append(x, np.full(ROW - len(x), -1)) for _, x in whole]))
-    label.append(np.array([np.full(ROW, y) for y, _ in whole]))
+    word = [np.append(ids, np.full(pad, -1, np.int32)).reshape(-1, ROW)]
+    label = [np.append(labels, np.zeros(pad, np.int32)).reshape(-1, ROW)]
+    whole = [(y, x[k:k + ROW]) for y, x in runs[::2] for k in range(0, len(x), ROW)]
+    word.append(np.array([np.append(x, np.full(ROW - len(x), -1, np.int32)) for _, x in whole]).reshape(-1, ROW))
+    label.append(np.array([np.full(ROW, y, np.int32) for y, _ in whole]).reshape(-1, ROW))
     return np.concatenate(word), np.concatenate(label), list(known)
 
 
+def expectations(model: Model, table: np.ndarray, word: np.ndarray, label: np.ndarray, known: int):
+    """Expected minus seen counts of some training rows: by word and label, of moves, of starts."""
+    n = len(model.languages)
+    moves, starts = np.exp(model.moves), np.exp(model.starts)
+    there = word >= 0
+    e = np.ones((*word.shape, n))
+    e[there] = table[word[there]]
+    reset = np.zeros(word.shape, bool)
+    reset[:, 0] = True
+    alpha = forward(e, moves, reset, starts, np.ones((len(e), n)))
+    beta = backward(e, moves, reset, np.ones((len(e), n)))
+    both = alpha * beta
+    both /= both.sum(axis=2, keepdims=True)
+    by_word = np.stack([np.bincount(word[there], both[there][:, y] - (label[there] == y), known) for y in range(n)], axis=1)
+    follow = there[:, 1:] & there[:, :-1]
+    near = (e * beta)[:, 1:][follow]
+    joint = alpha[:, :-1][follow][:, :, None] * moves * near[:, None, :]
+    joint = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    joint -= np.bincount(label[:, :-1][follow] * n + label[:, 1:][follow], minlength=n * n).reshape(n, n)
+    return by_word, joint, both[:, 0].sum(axis=0) - np.bincount(label[:, 0], minlength=n)
+
+
 def fit(model: Model, sample: list[tuple[int, list[str]]], rounds: int = ROUNDS) -> Model:
-    """Maximise the sample's conditional likelihood (Adam, all rows a round)."""
+    """Maximise the sample's conditional likelihood (Adam, all rows a round, some of them at once)."""
     sample = [(y, words) for y, words in sample if words]
     n = len(model.languages)
     if n < 2 or not sample:
         return model
     word, label, known = sequences(sample)
-    pairs, rows = feature_pairs(known), model.lexicon[[bucket(w) for w in known]]
-    there = word >= 0
-    flat, want = word[there], np.eye(n)[label[there]]
-    reset = np.zeros(word.shape, bool)
-    reset[:, 0] = True
-    follow = there[:, 1:] & there[:, :-1]
-    seen_moves = np.zeros((n, n))
-    np.add.at(seen_moves, (label[:, :-1][follow], label[:, 1:][follow]), 1)
-    seen_starts = np.bincount(label[:, 0], minlength=n)
+    pairs = tuple(x.astype(np.int32) for x in feature_pairs(known))
+    rows = model.lexicon[[bucket(w) for w in known]]
+    total = int((word >= 0).sum())
     names = ("weights", "scale", "moves", "starts")
     state = {k: [np.zeros_like(np.asarray(getattr(model, k), np.float64)) for _ in range(2)] for k in names}
-    total = len(flat)
     for step in range(1, rounds + 1):
-        scores = model.scores(known, pairs, rows)
-        e = np.ones((*word.shape, n))
-        e[there] = emissions(scores)[flat]
-        moves, starts = np.exp(model.moves), np.exp(model.starts)
-        alpha = forward(e, moves, reset, starts, np.ones((len(e), n)))
-        beta = backward(e, moves, reset, np.ones((len(e), n)))
-        both = alpha * beta
-        both /= both.sum(axis=2, keepdims=True)
-        per_word = np.stack([np.bincount(flat, (both[there] - want)[:, y], len(known)) for y in range(n)], axis=1)
-        near = (e * beta)[:, 1:][follow]
-        joint = alpha[:, :-1][follow][:, :, None] * moves * near[:, None, :]
-        joint = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        table = emissions(model.scores(known, pairs, rows))
+        parts = [expectations(model, table, word[k:k + 1000], label[k:k + 1000], len(known)) for k in range(0, len(word), 1000)]
+        by_word, joint, first = (sum(x) for x in zip(*parts))
         gradient = {
-            "weights": np.stack([np.bincount(pairs[1], per_word[pairs[0], y], FEATURES) for y in range(n)], axis=1) / total
+            "weights": np.stack([np.bincount(pairs[1], by_word[pairs[0], y], FEATURES) for y in range(n)], axis=1) / total
             + L2 * model.weights / 100,
-            "scale": np.asarray((per_word * rows).sum() / total),
-            "moves": (joint - seen_moves) / total + L2 * model.moves,
-            "starts": (both[:, 0].sum(axis=0) - seen_starts) / total + L2 * model.starts}
+            "scale": np.asarray((by_word * rows).sum() / total),
+            "moves": joint / total + L2 * model.moves,
+            "starts": first / total + L2 * model.starts}
         for k, g in gradient.items():
             m, v = state[k]
             m += 0.1 * (g - m)
