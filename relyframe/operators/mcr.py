@@ -130,17 +130,24 @@ def load_models(results: DataFrame, path: str) -> list[tuple]:
     return [tuple(r) for r in found.orderBy("model", "feature_set").collect()]
 
 
-def linear_models(models: list[tuple], scale: Callable[[Column], Column] = lambda p: p) -> Callable[[DataFrame], DataFrame]:
-    """predict for several linear models: rows of the input for each model, with model, feature_set, used, prediction."""
+def linear_models(models: list[tuple], scale: Callable[[Column], Column] = lambda p: p,
+                  moved: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """predict for several linear models: rows of the input for each model, with model, feature_set, used, prediction.
+
+    With ``moved`` (a column that names the feature a row has permuted) a row is copied only for
+    the models that use this feature.
+    """
     def predict(d: DataFrame) -> DataFrame:
         out = []
         for model, feature_set, features, b0, coef in models:
             p = F.lit(float(b0))
             for f, b in zip(features, coef):
                 p = p + F.lit(float(b)) * F.col(q(f)).cast("double")
-            out.append(F.struct(F.lit(model).alias("model"), F.lit(feature_set).alias("feature_set"),
-                                F.array(*[F.lit(f) for f in features]).alias("used"), scale(p).alias("prediction")))
-        return d.select("*", F.explode(F.array(*out)).alias("_m")).select(*[F.col(q(c)) for c in d.columns], "_m.*")
+            one = F.struct(F.lit(model).alias("model"), F.lit(feature_set).alias("feature_set"),
+                           F.array(*[F.lit(f) for f in features]).alias("used"), scale(p).alias("prediction"))
+            out.append(one if moved is None else F.when(F.col(moved).isin(*features), one))
+        each = F.array(*out) if moved is None else F.array_compact(F.array(*out))
+        return d.select("*", F.explode(each).alias("_m")).select(*[F.col(q(c)) for c in d.columns], "_m.*")
     return predict
 
 

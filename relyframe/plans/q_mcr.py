@@ -192,10 +192,8 @@ def reliance_table(spark: SparkSession, sf: str, survivors=lambda results: resul
     rf, scale, path = benchmark(spark, sf)
     results = survivors(spark.read.parquet(f"{path}/results"))
     models = R.load_models(results, path)
-    predict = R.linear_models(models, scale)
-    used = lambda d: predict(d).where(F.expr("array_contains(used, _feature)"))
     te = rf.where(F.col("split") == "test").select("row_id", "y", *FEATS)
-    losses = R.permutation_losses(te, FEATS, "y", used, SEED, 1, keys=["model", "feature_set"])
+    losses = R.permutation_losses(te, FEATS, "y", R.linear_models(models, scale, "_feature"), SEED, 1, keys=["model", "feature_set"])
     return results, R.model_reliance(results.select("model", "feature_set", "loss"), losses)
 
 
@@ -240,18 +238,39 @@ def q_map_labels(spark: SparkSession, sf: str):
 
 @register("permutation_importance")
 def q_perm_importance(spark: SparkSession, sf: str):
-    """Decision tree on the scaled features and Box-Cox target, then every feature
-    permuted three times on the test split, scored on the original scale: all
+    """Decision tree (whole grid, five folds) on the scaled features and Box-Cox target, then every
+    feature permuted three times on the test split, scored on the original scale: all
     copies by one transform and one groupBy."""
-    from relyframe.operators.models import cv_spark_ml, spark_ml_predict
+    from relyframe.operators import trees as T
     rf, lam, off = scaled_frame(spark, sf)
     train, test = rf.where(F.col("split") == "train"), rf.where(F.col("split") == "test")
-    model, _, _ = cv_spark_ml(train, FEATS, "y_t", "Decision Tree", repeats=1)
+    fitted = T.search(train, FEATS, "y_t", "Decision Tree", repeats=1).fitted
 
     def predict(d):
-        out = spark_ml_predict(model, d, FEATS, list(d.columns))
+        out = T.predict(fitted, d, FEATS, list(d.columns))
         return out.withColumn("prediction", R.original_scale(F.col("prediction"), lam, off)).withColumn("model", F.lit("tree"))
     te = test.select("row_id", "y", *FEATS)
     base = predict(te).groupBy("model").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("loss"))
     losses = R.permutation_losses(te, FEATS, "y", predict, SEED, 3, keys=["model"])
     return rounded(R.model_reliance(base, losses, ["model"]).drop("model"))
+
+
+@register("mcr_both_families")
+def q_mcr_both(spark: SparkSession, sf: str):
+    """Reliance intervals over linear models and trees: benchmarked, stored, looked up again for the Rashomon set
+    (R2 within 0.05 of the best), each model scored with its own features permuted."""
+    from relyframe.operators import benchmark as B
+    from relyframe.operators.models import LINEAR_GRIDS
+    rf, lam, off = scaled_frame(spark, sf)
+    scale = lambda p: R.original_scale(p, lam, off)
+    test = rf.where(F.col("split") == "test")
+    path = scratch_path(spark, "both")
+    found = B.run(B.Setup(rf.where(F.col("split") == "train"), test, "y", "y_t", scale, repeats=1),
+                  {"all": FEATS, "prices": ["o_totalprice", "n_items", "sum_price"]}, [*LINEAR_GRIDS, "Decision Tree"], path)
+    near = R.rashomon_set(found.where("error IS NULL"), "r2", 0.05)
+    linear, trees = B.load_models(near, path)
+    losses = R.permutation_losses(test.select("row_id", "y", *FEATS), FEATS, "y", B.mixed_models(linear, trees, scale, "_feature"),
+                                  SEED, 1, keys=["model", "feature_set"])
+    mr = R.model_reliance(near.select("model", "feature_set", "loss"), losses)
+    by = R.classify_reliance(R.mcr_intervals(mr))
+    return rounded(by.join(mr.groupBy("feature").agg(F.count("*").alias("n_models")), "feature"))

@@ -38,12 +38,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import the package from where the driver has it, wherever it was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
     (local tests) a private folder is created and registered.
     """
+    importable(spark)
     # let AQE coalesce the output of persisted frames too
     spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
     sc = spark.sparkContext
