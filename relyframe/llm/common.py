@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: reading, chunking, word tables, 64-bit hashes."""
+"""Helpers shared by the text operators: reading, chunking, word tables, hashes."""
 
 from __future__ import annotations
 
@@ -11,17 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-#: Odd multiplier of the rolling polynomial (mod 2**64) and its inverse.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: The rolling polynomials' modulus, a Mersenne prime, and their two bases. (Modulo a power of two, equal
+#: hashes of unequal strings are known for every base.)
+PRIME, PRIME_BITS = (1 << 31) - 1, U(31)
+BASES = (1289706101, 1846390481)
+#: Elements that the arithmetic handles at once, so that its steps stay in the cache.
+STEP = 1 << 16
 MASK = (1 << 64) - 1
 #: Characters handled at once inside a task; a longer text is handled alone.
 CHUNK_CHARS = 500_000
 #: Rows that Spark hands to Python at once, and that are turned into Python strings at once.
 BATCH_ROWS, SLICE_ROWS = 2_000, 500
 
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POW = [np.ones(1, U), np.ones(1, U)]
+_BYTE = np.random.default_rng(20240229).integers(1, PRIME, 256, dtype=np.uint64)
+_POW = [np.ones(1, np.uint32) for _ in range(4)]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -77,15 +80,30 @@ def chunks(batches, columns=("doc_id", "text"), limit: int = CHUNK_CHARS) -> Ite
     release_memory()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, modulo 2**64."""
+def folded(x: np.ndarray) -> np.ndarray:
+    """Something smaller that is equal modulo PRIME."""
+    return (x & U(PRIME)) + (x >> PRIME_BITS)
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = folded(folded(folded(x)))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """base**i and base**-i for i < n modulo PRIME, for each base."""
     if len(_POW[0]) < n:
         size = max(n, 1 << 16)
-        for k, b in ((0, BASE), (1, BASE_INV)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            _POW[k] = np.cumprod(p, dtype=U)
-    return _POW[0][:n], _POW[1][:n]
+        for k, base in enumerate(BASES):
+            for at, b in ((2 * k, base), (2 * k + 1, pow(base, -1, PRIME))):
+                out, done, step = np.ones(size, np.uint32), 1, b
+                while done < size:  # step is b**done
+                    more = min(done, size - done)
+                    out[done:done + more] = residue(out[:more] * U(step))
+                    done, step = done + more, step * step % PRIME
+                _POW[at] = out
+    return [(_POW[2 * k][:n], _POW[2 * k + 1][:n]) for k in range(2)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,20 +116,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any window of a sequence in constant time each, from one prefix sum."""
+    """Hashes of any window of a sequence in constant time each, from prefix sums of two polynomials modulo PRIME."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        p, self.inv = powers(n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * p[:n], out=self.sums[1:])
+        self.parts = []
+        for up, down in powers(n + 1):
+            sums = np.zeros(n + 1, U)
+            for k in range(0, n, STEP):
+                part = folded(folded(folded(values[k:k + STEP])) * up[k:min(k + STEP, n)])
+                np.cumsum(part, out=sums[k + 1:k + 1 + len(part)])
+                sums[k + 1:k + 1 + len(part)] += sums[k]
+            self.parts.append((sums, down))
 
     def windows(self, at: np.ndarray, length) -> np.ndarray:
         """Mixed hashes of [at, at + length); the lengths may differ by window."""
-        raw = (self.sums[at + length] - self.sums[at]) * self.inv[at]
-        salt = U((length * 0xD6E8FEB86659FD93) & MASK) if isinstance(length, int) \
-            else length.astype(U) * U(0xD6E8FEB86659FD93)
-        return mix(raw + salt)
+        out = np.empty(len(at), U)
+        for k in range(0, len(at), STEP):
+            a, n = at[k:k + STEP], length if isinstance(length, int) else length[k:k + STEP]
+            one, two = (residue(folded(folded(s[a + n] - s[a])) * down[a]) for s, down in self.parts)
+            salt = U((n * 0xD6E8FEB86659FD93) & MASK) if isinstance(n, int) else n.astype(U) * U(0xD6E8FEB86659FD93)
+            out[k:k + STEP] = mix((one | two << U(32)) + salt)
+        return out
 
 
 def byte_values(raw: np.ndarray) -> np.ndarray:

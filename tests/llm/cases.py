@@ -5,6 +5,12 @@ import random
 SCHEMA = "doc_id long, text string, lang string, source string, k1 long, blk string, node double"
 
 
+def thue_morse(n=1024):
+    """Two words of n letters that a polynomial modulo 2**64 hashes alike, whatever its base."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 def corpus(seed=7, n=70):
     r = random.Random(seed)
     vocab = ["".join(r.choices("abcdeéßg", k=r.randint(1, 7))) for _ in range(400)]
@@ -26,6 +32,8 @@ def corpus(seed=7, n=70):
         rows.append((i, text))
     rows += [(n, None), (n + 1, ""), (None, rows[3][1]), (None, "x"), (None, None), rows[5], rows[5], (n + 2, "same " * 900),
              (n + 3, "A\tb\x0bc\nd\re\x0cf " * 3), (n + 4, "é" * 3000), (n + 5, " \n\t \n"), (n + 6, prose(4000)),
+             *[(n + 20 + i, " ".join([w, *[f"w{i}{j}" if i > 1 else f"q{j}" for j in range(14)]]))
+               for i, w in enumerate(thue_morse())],
              (n + 7, "mail a.b+c@x-y.org or @no a@b.c.d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 4111 1111 1111 1111 "
                      "+1 (555) 010-9999 +1 2 4111-1111-1111-1112 01.002.3.4")]
     return rows
