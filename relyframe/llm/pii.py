@@ -8,23 +8,31 @@ its entities. Over the whole corpus, for entity c and term t,
 
 with p from document counts. 1 means that t gives c away. Terms of at
 least ``GENERALISE`` are replaced by a class name, those of at least
-``REMOVE`` are removed, in every document and place, also where the entity isn't written. Evidence has to
-come from ``MIN_CONTEXTS`` different contexts (the ``WINDOW`` words on both sides of the
-entity), so copies of one text don't make their words disclosing.
+``REMOVE`` are removed, in every document and place, also where the entity isn't written.
+
+A pair has to be more than chance. Evidence is the number n of different contexts of the entity
+(the ``WINDOW`` words on both sides) in whose documents the term is, at most one a document, so
+copies of one text count once. If the m contexts met a term of n(t) documents by chance, n would be about
+L = m n(t) / N, and n or more has a probability of at most exp(-(n log(n / L) - n + L)) (Chernoff). The
+pair counts if that is below ``CHANCE`` divided by the number of pairs that could have been tested
+(entities times terms). What can't pass either test whatever its partner (terms in too many
+documents, terms and entities in too few) is left out before pairs are made, so a
+text with thousands of addresses of its own makes none.
 
 A row of the result belongs to a row of the input; null text is empty;
 repeated rows count as documents and get the same spans; an empty table
-gives none.
+gives none. Values equal to a threshold pass it. Texts are searched whole, in time linear in their length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relyframe.llm.common import ALNUM, Words, chunks, encoded, id_text, mix, row_keys
@@ -34,7 +42,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Spans of the method: terms that are generalised or removed.
 TERM_KINDS = ("general", "removed")
 WINDOW = 8
-MIN_CONTEXTS = 3
+CHANCE = 0.01
 GENERALISE, REMOVE = 0.6, 0.9
 
 # The character classes of the patterns.
@@ -217,21 +225,53 @@ def term_frequency(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _surprise(n: Column, expected: Column) -> Column:
+    """-log of a bound on the chance of n or more where ``expected`` are."""
+    return F.when(n > expected, n * F.log(n / expected) - n + expected).otherwise(F.lit(0.0))
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above GENERALISE."""
-    n_docs = found.count()
-    near = found.where(F.size("near") > 0).select(F.explode("near").alias("x"), "terms").select("x.*", F.explode("terms").alias("term"))
-    # an entity with several contexts in a document counts once as a document and each of them as a context
-    pair = near.groupBy("entity", "term", "context").agg(F.sum("once").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
-    entity = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform(
-        "near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = pair.join(entity, "entity").join(term_frequency(docs).withColumnRenamed("n", "n_term"), "term")
+    """(entity, term, disclosure) of the pairs at or above GENERALISE that aren't chance."""
+    spark = found.sparkSession
+    # rows that are wholly alike are one with a weight
+    own = found.where(F.size("near") > 0).groupBy("k1", "k2").agg(
+        F.first("near").alias("near"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    near = own.select("k1", "k2", "copies", F.explode("near").alias("x")).select("k1", "k2", "copies", "x.*")
+    entity = _written(near.groupBy("entity", "context").agg(F.sum(F.col("once") * F.col("copies")).alias("n")).groupBy("entity").agg(
+        F.sum("n").alias("n_entity"), F.count("*").alias("contexts")), "entities")
+    term = _written(term_frequency(docs).withColumnRenamed("n", "n_term"), "terms")
+    n_docs, tests = found.count(), max(entity.count(), 1) * max(term.count(), 1)
+    total, need = F.lit(float(n_docs)), math.log(tests / CHANCE)
+
+    def could_pass(n):  # as much evidence as there can be, with the rarest partner
+        return _surprise(n.cast("double"), n * n / total) >= need
+
+    entity = entity.where((F.col("n_entity") < n_docs) & could_pass(F.col("contexts")))
+    most = entity.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return spark.createDataFrame([], "entity long, term long, disclosure double")
+
+    def in_reach(n_entity):  # PMI is largest where the term is in all documents of the entity
+        return F.col("n_term") <= F.pow(total, 1 - GENERALISE) * F.pow(n_entity, GENERALISE) * (1 + 1e-9)
+
+    term = term.where(could_pass(F.col("n_term")) & in_reach(F.lit(float(most))))
+    near = near.join(entity, "entity")
+    words = own.join(near.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(
+        "k1", "k2", F.explode("terms").alias("term")).join(term, "term")
+    pair = near.join(words, ["k1", "k2"]).where(in_reach(F.col("n_entity"))) \
+        .groupBy("entity", "term", "context", "n_entity", "contexts", "n_term").agg(F.sum(F.col("once") * F.col("copies")).alias("n")) \
+        .groupBy("entity", "term", "n_entity", "contexts", "n_term").agg(F.sum("n").alias("n_both"), F.least(F.count("*"), F.sum("n")).alias("n_contexts"))
+    pair = pair.where(_surprise(F.col("n_contexts").cast("double"), F.col("contexts") * F.col("n_term") / total) >= need)
     n_both = F.least("n_both", "n_entity", "n_term")
-    pmi = F.log2(n_both * F.lit(float(n_docs)) / (F.col("n_term") * F.col("n_entity")))
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    return both.where(F.col("n_entity") < n_docs).select(
-        "entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    pmi = F.log2(n_both * total / (F.col("n_term") * F.col("n_entity")))
+    ic = F.log2(total / F.col("n_entity"))
+    return pair.select("entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    at = scratch_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
 
 
 def places(docs: DataFrame) -> DataFrame:
