@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,34 +103,65 @@ def assign_folds(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 42,
                             for r in range(repeats)])
 
 
+def _dealt(loads: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the greedy rule puts a group: (fold, load of that fold before).
+
+    Groups of one size are dealt one after another to the lightest fold (the lowest on ties), so fold f
+    takes one whenever its load, load[f] + i * size, is the next in the order of (load, fold). The group at
+    ``place`` meets the load t that is the (place + 1)-th smallest of these, found by bisection. One row of
+    ``loads`` for each group.
+    """
+    low, high = loads.min(axis=1), loads.min(axis=1) + size * place
+    one = size[:, None]
+
+    def upto(t):  # loads met at or below t
+        return np.where(loads <= t[:, None], (t[:, None] - loads) // one + 1, 0)
+
+    while (low < high).any():
+        mid = (low + high) // 2
+        enough = upto(mid).sum(axis=1) > place
+        low, high = np.where(enough, low, mid + 1), np.where(enough, mid, high)
+    below = upto(low - 1).sum(axis=1)
+    meets = (loads <= low[:, None]) & ((low[:, None] - loads) % one == 0)
+    return ((np.cumsum(meets, axis=1) <= (place - below)[:, None]).sum(axis=1)), low
+
+
 def assign_group_folds(spark: SparkSession, df: DataFrame, group_col: str, k: int = 5) -> tuple[DataFrame, int]:
     """Group K-fold: n_splits = min(k, groups); groups by size desc go to the
     currently lightest fold (lowest index on ties).
 
-    The greedy rule needs the group sizes in order, so it runs as a stream over
-    the sorted (group, size) table, holding k loads and nothing else; any
-    number of groups passes. The fold map is joined back by group. Rows
-    without a group are a group of their own.
+    Groups of equal size are dealt by a rule (see ``_dealt``), so only the distinct sizes come
+    to the driver, with the loads that each of them meets: at most the root of twice the rows. A group's
+    place among its equals is its exact position over all partitions. The fold map is joined back
+    by group. Rows without a group are a group of their own.
     """
     sizes = df.groupBy(F.col(q(group_col)).alias("_g")).agg(F.count(F.lit(1)).alias("_c"))
     sizes = sizes.checkpoint(eager=True)
-    splits = min(k, sizes.count())
+    classes = sizes.groupBy("_c").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("_c")).collect()
+    splits = min(k, sum(r["m"] for r in classes))
     if splits < 2:
         return df.withColumn("fold", F.lit(None).cast("int")), splits
+    loads, rows = np.zeros((1, splits), np.int64), []
+    for r in classes:
+        c, m = np.array([r["_c"]], np.int64), r["m"]
+        rows.append((r["_c"], loads[0].tolist()))
+        # the load of the last group dealt tells how many every fold has had
+        fold, t = _dealt(loads, c, np.array([m - 1], np.int64))
+        n = np.where(loads[0] < t, (t - 1 - loads[0]) // c + 1, 0)
+        n += (loads[0] <= t) & ((t - loads[0]) % c == 0) & (np.arange(splits) <= fold)
+        loads = loads + n * c
     gtype = df.schema[group_col].dataType.simpleString()
+    table = spark.createDataFrame(rows, "_c long, _loads array<long>")
+    placed = exact_position(sizes.withColumn("_s", F.col("_g").cast("string")), ["_c"], ["_s"], pos_col="_at", total_col=None)
 
-    def greedy(batches):
-        load = [0] * splits
+    def deal(batches):
         for pdf in batches:
-            fold = []
-            for c in pdf["_c"]:
-                f = min(range(splits), key=load.__getitem__)
-                load[f] += int(c)
-                fold.append(f)
-            yield pdf[["_g"]].assign(fold=fold)
-
-    order = [F.desc("_c"), F.col("_g").cast("string").asc_nulls_first()]
-    fmap = sizes.coalesce(1).sortWithinPartitions(*order).mapInPandas(greedy, f"_g {gtype}, fold int")
+            if len(pdf):
+                fold, _ = _dealt(np.stack(pdf["_loads"].to_numpy()).astype(np.int64), pdf["_c"].to_numpy(np.int64),
+                                 pdf["_at"].to_numpy(np.int64))
+                yield pdf[["_g"]].assign(fold=fold.astype(np.int32))
+
+    fmap = placed.join(table, "_c").select("_g", "_c", "_at", "_loads").mapInPandas(deal, f"_g {gtype}, fold int")
     return df.join(fmap, F.col(q(group_col)).eqNullSafe(F.col("_g")), "left").drop("_g"), splits
 
 
