@@ -125,3 +125,31 @@ def q_histogram(spark: SparkSession, sf: str):
     for tag in ("train", "test"):
         out = out.unionByName(histogram(sp.where(F.col("split") == tag), "sum_qty", 10, mm["lo"], mm["hi"], tag))
     return out
+
+
+_SMOTE = ["o_totalprice", "sum_price", "avg_disc"]
+
+
+@register("smote", "WITH " + FF_SQL + f""",
+e AS (SELECT row_id, CAST(o_orderstatus = 'P' AS INTEGER) AS label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _SMOTE)} FROM ff
+      WHERE o_orderstatus IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in _SMOTE)}),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+few AS (SELECT label, n, (SELECT max(n) FROM n) - n AS made, least(5, n - 1) AS k FROM n WHERE n > 1 AND n < (SELECT max(n) FROM n)),
+m AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS p FROM e JOIN few USING (label)),
+nb AS (SELECT a.label, a.row_id AS base, b.row_id AS other, row_number() OVER (PARTITION BY a.label, a.row_id ORDER BY
+         {' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in _SMOTE)}, b.row_id) AS rk
+       FROM m a JOIN m b ON a.label = b.label AND a.row_id <> b.row_id),
+s AS (SELECT label, n, k, unnest(range(made)) AS number FROM few),
+g AS (SELECT label, number, CAST(floor({uniform_sql(SEED, 'smote_row', 'label', 'number')} * n) AS BIGINT) AS p,
+             CAST(floor({uniform_sql(SEED, 'smote_other', 'label', 'number')} * k) AS BIGINT) + 1 AS rk,
+             {uniform_sql(SEED, 'smote_gap', 'label', 'number')} AS gap FROM s)
+SELECT g.label, g.number, nb.base, nb.other, round(gap, 6) AS gap,
+       {', '.join(f'round(a.{f} + gap * (b.{f} - a.{f}), 6) AS {f}' for f in _SMOTE)}
+FROM g JOIN m a ON a.label = g.label AND a.p = g.p JOIN nb ON nb.base = a.row_id AND nb.rk = g.rk
+JOIN m b ON b.row_id = nb.other""")
+def q_smote(spark: SparkSession, sf: str):
+    """Orders in part delivered are few: drawn up to as many as the others."""
+    from relyframe.operators.smote import smote
+    ff = standard_frame(spark, sf).where(F.col("o_orderstatus").isNotNull()).select(
+        "row_id", (F.col("o_orderstatus") == "P").cast("int").alias("label"), *_SMOTE)
+    return rounded(smote(ff, "label", _SMOTE, seed=SEED, block_rows=128))
