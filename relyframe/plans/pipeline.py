@@ -32,6 +32,8 @@ class CleanConfig:
     inf_replacement: float = -100.0
     sentinels: list = field(default_factory=lambda: ["#NAME?"])
     median_fix: list = field(default_factory=lambda: ["area_dirty"])
+    # medians over all rows before the split, as the analysis did at first; else train's medians fill them later
+    fill_before_split: bool = True
     x_keywords_to_drop: list = field(default_factory=lambda: ["disc_o"])
 
 
@@ -54,7 +56,9 @@ def prepare_stage(cleaned: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataF
     else:
         df = C.replace_invalid(cleaned, cfg.inf_replacement, cfg.sentinels)
     fix = [c for c in cfg.median_fix if c in df.columns]
-    if fix:
+    if cfg.fill_before_split and fix:
         df = fill_median(df, fix)
+    else:
+        df = df.withColumns({c: to_numeric(F.col(c)) for c in fix})
     df = df.withColumn(cfg.target, to_numeric(F.col(cfg.target))).where(F.col(cfg.target).isNotNull())
     return C.drop_columns_matching(df, cfg.x_keywords_to_drop)

@@ -111,3 +111,16 @@ def q_pmf_table(spark: SparkSession, sf: str):
     curve = F.element_at(F.array(*[F.lit(x) for x in CURVE_IDS]), (F.substring("archetype", -1, 1).cast("int") % 3 + 1).cast("int"))
     table = G.pmf_table(part.withColumn("curve_id", curve), G.curve_params(spark))
     return spark.read.parquet(write_table(table, scratch_path(spark, "pmf")))
+
+
+_LO, _HI = "CAST(lo AS DOUBLE)", "CAST(hi AS DOUBLE)"
+_W = f"({_LO} + CAST(asset_id % 7 - 1 AS DOUBLE) * ({_HI} - {_LO}) / 4.0)"
+
+
+@register("uniform_density", f"""SELECT asset_id, ef_level, round({_W}, 6) AS w,
+       round(CASE WHEN {_W} >= {_LO} AND {_W} <= {_HI} THEN 1.0 / ({_HI} - {_LO}) ELSE 0.0 END, 6) AS density FROM ({_ASSETS}) a""")
+def q_uniform(spark: SparkSession, sf: str):
+    """Density of the load at a point in, at the ends of or outside each asset's interval."""
+    w = F.col("lo") + (F.col("asset_id") % 7 - 1) * (F.col("hi") - F.col("lo")) / F.lit(4.0)
+    return rounded(assets(spark, sf).select("asset_id", "ef_level", w.alias("w"),
+                                            G.uniform_pdf(w, F.col("lo"), F.col("hi")).alias("density")))
