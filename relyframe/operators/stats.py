@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relyframe.operators.ordered import exact_position
+from relyframe.operators.ranks import average_rank
 
 
 def q(c: str) -> str:
@@ -44,14 +45,6 @@ def average_rank_table(df: DataFrame, cols: list[str]) -> DataFrame:
                          (F.col("_below").cast("double") + (F.col("n").cast("double") + 1.0) / 2.0).alias("avg_rank"))
 
 
-def average_rank(df: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:
-    """Wide frame (id, col...) with every value replaced by its column-wise average rank."""
-    ranks = average_rank_table(df, cols)
-    lf = long_form(df, cols, id_col)
-    joined = lf.join(ranks.select("feature", "value", "avg_rank"), on=["feature", "value"], how="left")
-    return joined.groupBy(id_col).pivot("feature", cols).agg(F.first("avg_rank"))
-
-
 # ---------------------------------------------------------------- Gram path
 
 def column_means(df: DataFrame, cols: list[str]) -> np.ndarray:
@@ -132,9 +125,8 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
         else:
             nn, si, qi, gij = gram_pairwise(d, cols, mu)
     finally:
-        pass
-    if complete:
         d.unpersist()
+    if complete:
         if n == 0:
             return np.full((p, p), np.nan)
         cov = g / n - np.outer(s, s) / (n * n)
@@ -143,7 +135,6 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
             den = np.sqrt(np.outer(var, var))
             r = np.where(den > 0, cov / np.where(den > 0, den, 1.0), np.nan)
         return np.clip(r, -1.0, 1.0)
-    d.unpersist()
     sj = si.T
     qj = qi.T
     with np.errstate(invalid="ignore", divide="ignore"):
