@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from relyframe.functions.hashing import uniform
 from relyframe.functions.missing import is_finite, to_numeric
+from relyframe.operators.distinct import distinct_up_to
 from relyframe.operators.stats import profile, q
 
 
@@ -28,13 +29,13 @@ def drop_low_variation(df: DataFrame, threshold: int = 1) -> DataFrame:
     """Keep columns with more than ``threshold`` distinct values.
 
     For threshold 1 that is min < max, one aggregate without a shuffle of
-    values; other thresholds count distinct values.
+    values; other thresholds count distinct values up to the threshold.
     """
     if threshold == 1:
         texts = {c: F.col(q(c)).cast("string") for c in df.columns}
         row = df.agg(*[(F.min(x) < F.max(x)).alias(f"v{i}") for i, x in enumerate(texts.values())]).first()
         return df.select(*[F.col(q(c)) for i, c in enumerate(df.columns) if row[f"v{i}"]])
-    keep = {r["column"] for r in low_variation_profile(df, threshold).where("keep").collect()}
+    keep = {r["column"] for r in distinct_up_to(df, df.columns, threshold + 1).where(F.col("n_distinct") > threshold).collect()}
     return df.select(*[F.col(q(c)) for c in df.columns if c in keep])
 
 
