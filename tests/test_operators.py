@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,41 @@ def test_mi_over_cut_groups_equals_one_partition(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
         got.append({r["feature"]: r["mi"] for r in rows})
     assert got[0].keys() == got[1].keys() and all(abs(got[0][f] - got[1][f]) < 1e-12 for f in got[0])
+
+
+def test_knn_distances_on_lines_take_few_steps():
+    """Points on lines of y, where the gap in x alone stays small for a third of all points: searched strip by strip."""
+    import time
+    from relyframe.operators import mi as M
+    r = np.random.default_rng(0)
+    n = 150_000
+    y = np.round(r.gamma(4, 25, n)) / 85 + 1e-10 * r.random(n)
+    x = np.sort(r.normal(size=n))
+    begin = time.process_time()
+    got = M.knn_distances(x, y, 3)
+    assert time.process_time() - begin < 10  # 0.6 s; place by place it was 30 s and more
+    for i in r.integers(0, n, 200):
+        d = np.maximum(np.abs(x - x[i]), np.abs(y - y[i]))
+        d[i] = np.inf
+        assert np.array_equal(got[i], np.sort(np.partition(d, 3)[:3]))
+
+
+def test_ksg_over_partitions_matches_brute_force(spark):
+    """Groups that lie in many partitions, with ties and far points: neighbours and counts come from other partitions too."""
+    from relyframe.operators import mi as M
+    r = np.random.default_rng(3)
+    n = 700
+    x = np.round(r.normal(size=n) * 4) / 4 + 1e-10 * r.random(n)
+    y = np.round(r.normal(size=n) * 6) / 6 + 1e-10 * r.random(n)
+    x[:3], y[:3] = (50, -60, 70), (40, 0, -30)
+    pdf = pd.DataFrame({"feature": 0, "rep": np.repeat([0, 1], [n, 2]).astype("int32"), "row_id": np.arange(n + 2),
+                        "x": [*x, 0.0, 1.0], "y": [*y, 0.0, 1.0]}).astype({"feature": "int32"})
+    d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+    np.fill_diagonal(d, np.inf)
+    rad = np.sort(d, axis=1)[:, 2]
+    nx, ny = ((np.abs(v[:, None] - v) < rad[:, None] - M.ULP_SLACK * np.maximum(np.abs(v), rad)[:, None]).sum(1) for v in (x, y))
+    want = max(0.0, _psi(n) + _psi(3) - np.mean([_psi(v) for v in nx]) - np.mean([_psi(v) for v in ny]))
+    for unique in (True, False):
+        got = {r["rep"]: r["mi"] for r in M.ksg_mi(spark.createDataFrame(pdf), 3, unique).collect()}
+        assert list(got) == [0]  # two points have no third neighbour
+        assert abs(got[0] - want) < 1e-9
