@@ -1,9 +1,10 @@
 """Synthetic minority rows: points drawn on segments between a row and one of its nearest rows of the same class.
 
-Neighbours are exact. Rows of a class are cut into blocks along the feature
-with the widest spread. Each block finds its rows' neighbours inside it; the k-th
-distance bounds how far along that feature closer rows can lie, so a row then
-visits only the blocks that this interval meets. A block is searched with
+Neighbours are exact. Rows of a class are cut into boxes: strips along the feature
+with the widest spread, these along the next one, and so on. Each box finds its rows'
+neighbours inside it; the k-th distance bounds how far closer rows can lie, so a row then
+visits only the boxes that this ball meets. Boxes that no ball of a box can meet are
+left out for all its rows at once, strips first. A box is searched with
 numpy, a slice of rows at a time.
 """
 
@@ -22,6 +23,8 @@ from relyframe.session import checkpoint_dir
 
 #: Rows of a block, and rows that are compared with a block at once.
 BLOCK_ROWS, SLICE = 2_048, 256
+#: Features that boxes are cut along, at most, and the least spread of one, as a share of the widest.
+AXES, LEAST_SPREAD = 3, 0.01
 
 
 def _closest(x: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -46,6 +49,23 @@ def _closest(x: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.n
     return pd.concat(out, ignore_index=True) if out else none
 
 
+def in_boxes(rows: DataFrame, names: list[str], block_rows: int) -> tuple[DataFrame, list[str]]:
+    """(rows with _strip and _blk, the features that boxes are cut along); a box has about ``block_rows`` rows of a label."""
+    spread = rows.agg(*[F.stddev_pop(n).alias(n) for n in names]).first()
+    axes = sorted(names, key=lambda n: -(spread[n] or 0.0))
+    axes = [n for i, n in enumerate(axes[:AXES]) if not i or (spread[n] or 0.0) > LEAST_SPREAD * (spread[axes[0]] or 0.0)]
+    placed = rows.withColumn("_blk", F.lit(0).cast("long"))
+    for i, axis in enumerate(axes):
+        placed = exact_position(placed, ["_label", "_blk"], [axis, "_id"], pos_col="_at", total_col="_n")
+        if not i:  # pieces along each axis
+            placed = placed.withColumn("_c", F.ceil(F.pow(F.ceil(F.col("_n") / F.lit(block_rows)), F.lit(1.0 / len(axes)))))
+        placed = placed.withColumn("_blk", F.col("_blk") * F.col("_c") + F.floor(F.col("_at") * F.col("_c") / F.col("_n"))).drop("_at", "_n")
+        if not i:
+            placed = placed.withColumn("_strip", F.col("_blk"))
+    placed = placed.drop("_c").checkpoint(eager=True)
+    return placed, axes
+
+
 def class_neighbors(df: DataFrame, label: str, features: list[str], k: int = 5, id_col: str = "row_id",
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(label, id, others array<struct<_d2, _other>>): the k nearest other rows of the class by squared distance,
@@ -59,10 +79,7 @@ def class_neighbors(df: DataFrame, label: str, features: list[str], k: int = 5,
     for n in names:
         good = good & is_finite(F.col(n))
     rows = rows.where(good)
-    spread = rows.agg(*[F.stddev_pop(n).alias(n) for n in names]).first()
-    axis = max(names, key=lambda n: spread[n] or 0.0)
-    placed = exact_position(rows, ["_label"], [axis, "_id"], pos_col="_at", total_col=None)
-    placed = placed.withColumn("_blk", F.floor(F.col("_at") / F.lit(block_rows))).drop("_at").checkpoint(eager=True)
+    placed, axes = in_boxes(rows, names, block_rows)
 
     def table(pdf):
         pdf = pdf.sort_values("_id")
@@ -79,10 +96,24 @@ def class_neighbors(df: DataFrame, label: str, features: list[str], k: int = 5,
     # a little more than the distance, for its rounding
     radius = F.when(F.col("_have") < k, F.lit(float("inf"))).otherwise(F.sqrt("_far") * (1 + 1e-9))
     asking = placed.join(reach, "_id", "left").withColumn("_r", F.coalesce(radius, F.lit(float("inf"))))
-    blocks = placed.groupBy("_label", "_blk").agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi")).select(
-        F.col("_label"), F.col("_blk").alias("_to"), "_lo", "_hi")
-    visits = asking.join(blocks, "_label").where((F.col("_to") != F.col("_blk")) & (F.col("_lo") <= F.col(axis) + F.col("_r"))
-                                                & (F.col("_hi") >= F.col(axis) - F.col("_r")))
+    ends = [f(n).alias(f"_{side}{i}") for i, n in enumerate(axes) for side, f in (("lo", F.min), ("hi", F.max))]
+    boxes = asking.groupBy("_label", "_strip", "_blk").agg(*ends, F.max("_r").alias("_far")).checkpoint(eager=True)
+    others = boxes.select("_label", F.col("_strip").alias("_to_strip"), F.col("_blk").alias("_to"),
+                          *[F.col(f"_{side}{i}").alias(f"_to_{side}{i}") for i in range(len(axes)) for side in ("lo", "hi")])
+    strips = boxes.groupBy("_label", "_strip").agg(F.min("_lo0").alias("_lo"), F.max("_hi0").alias("_hi"), F.max("_far").alias("_far"))
+    ways = strips.join(strips.select("_label", F.col("_strip").alias("_to_strip"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b")), "_label")
+    ways = ways.where((F.col("_a") <= F.col("_hi") + F.col("_far")) & (F.col("_b") >= F.col("_lo") - F.col("_far"))).select(
+        "_label", "_strip", "_to_strip")
+    met = F.col("_to") != F.col("_blk")
+    for i in range(len(axes)):
+        met = met & (F.col(f"_to_lo{i}") <= F.col(f"_hi{i}") + F.col("_far")) & (F.col(f"_to_hi{i}") >= F.col(f"_lo{i}") - F.col("_far"))
+    pairs = boxes.join(ways, ["_label", "_strip"]).join(others, ["_label", "_to_strip"]).where(met).select(
+        "_label", "_blk", "_to", *[f"_to_{side}{i}" for i in range(len(axes)) for side in ("lo", "hi")])
+    gap2 = F.lit(0.0)
+    for i, n in enumerate(axes):
+        gap = F.greatest(F.lit(0.0), F.col(f"_to_lo{i}") - F.col(n), F.col(n) - F.col(f"_to_hi{i}"))
+        gap2 = gap2 + gap * gap
+    visits = asking.join(pairs, ["_label", "_blk"]).where(gap2 <= F.col("_r") * F.col("_r"))
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relyframe.operators import smote as S
 
@@ -45,3 +46,22 @@ def test_nothing_to_do(spark):
     df, _ = frame(spark)
     assert S.smote(df.where("label = 'a'"), "label", ["x", "y"]).count() == 0
     assert S.smote(df.where("false"), "label", ["x", "y"]).count() == 0
+
+
+def test_boxes_along_several_features(spark):
+    """Neighbours are exact, and boxes are short along each feature that counts, so a row's ball meets few of them."""
+    r = np.random.default_rng(6)
+    n, k = 4_000, 5
+    x = np.round(r.normal(size=(n, 3)), 2) * [1.0, 0.9, 1e-4]
+    df = spark.createDataFrame([(i, "a", *map(float, v)) for i, v in enumerate(x)], "row_id long, label string, x double, y double, z double")
+    names = df.select("row_id", "label", F.col("x").alias("_x0"), F.col("y").alias("_x1"), F.col("z").alias("_x2"))
+    placed, axes = S.in_boxes(names.withColumnsRenamed({"label": "_label", "row_id": "_id"}), ["_x0", "_x1", "_x2"], 64)
+    assert axes == ["_x0", "_x1"]  # the third hardly moves a distance
+    spans = placed.groupBy("_blk").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in axes]).toPandas()
+    assert spans["n"].max() <= 2 * 64
+    assert (spans[axes].median() < 0.3 * (x.max(axis=0) - x.min(axis=0))[:2]).all()
+    got = {row.row_id: [o["_other"] for o in row.others] for row in S.class_neighbors(df, "label", ["x", "y", "z"], k, block_rows=64).collect()}
+    for i in r.integers(0, n, 100):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(n), d))[:k].tolist()
