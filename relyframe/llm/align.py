@@ -41,6 +41,8 @@ from relyframe.session import scratch_path
 
 #: Bytes of text in a block, at least; a block ends with the chunk that passes it.
 BLOCK_BYTES = 4_000_000
+#: Blocks in a file. A file's rows are held together by its writer and by its readers, so this bounds both, whatever the input.
+FILE_BLOCKS = 8
 #: Characters handled at once.
 CHUNK = 300_000
 SPACE_MARK = "▁"
@@ -275,7 +277,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool
     """
     spark = docs.sparkSession
     at = scratch_path(spark, "aligned")
-    align_blocks(docs, path_a, path_b, keep_groups).write.option("compression", "zstd").parquet(at)
+    align_blocks(docs, path_a, path_b, keep_groups).write.option("compression", "zstd").option("maxRecordsPerFile", FILE_BLOCKS).parquet(at)
     blocks = spark.read.parquet(at)
     asked = blocks.select("blk", F.posexplode("pair").alias("place", "pair"))
     answers = asked.join(pair_counts(blocks), "pair").select("blk", "place", "total", "best")

@@ -74,3 +74,17 @@ def test_groups_are_kept(spark):
     rows = [(1, "alignment of tokens"), (2, None)]
     out = {r.doc_id: r for r in align.align_documents(table(spark, rows), *PATHS, keep_groups=True).collect()}
     assert hashlib.sha256(out[1].groups.encode()).hexdigest() == out[1].groups_sha256 and out[2].groups == ""
+
+
+def test_files_of_blocks_stay_small(spark, monkeypatch, tmp_path):
+    """Rows of a file are in memory together, so a file has few blocks however many a task makes."""
+    import glob
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(align, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(align, "CHUNK", 100)
+    monkeypatch.setattr(align, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = [(i, f"text number {i} " + "with some words " * 12) for i in range(120)]
+    out = align.align_documents(table(spark, rows).coalesce(1), *PATHS)
+    assert out.count() == len(rows)
+    held = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(str(tmp_path / "aligned" / "*.parquet"))]
+    assert sum(held) > 40 and max(held) <= 8
