@@ -68,6 +68,17 @@ def test_constant_features_and_pure_targets_leave_a_root(spark):
 
 
 def test_thresholds_are_those_of_equal_bins():
-    assert G.thresholds(np.array([1.0, -0.0, 0.0, 4.0])).tolist() == [0.5, 2.5]
-    assert len(G.thresholds(np.arange(10_000.0))) == 31
-    assert G.thresholds(np.zeros(3)).tolist() == []
+    assert G.thresholds(np.array([1.0, -0.0, 0.0, 4.0]), 4.0).tolist() == [0.5, 2.5]
+    assert len(G.thresholds(np.arange(10_000.0), 10_000.0)) == 31
+    assert G.thresholds(np.zeros(3), 3.0).tolist() == []
+
+
+def test_thresholds_are_found_on_the_rows_that_a_fit_draws(spark):
+    d = spark.range(30_000).select(F.col("id").alias("row_id"), *[
+        ((F.xxhash64("id", F.lit(c)) % 100_000) / 1000.0).alias(c) for c in FEATS]).withColumn("y", F.sin("a") + F.col("b")).coalesce(3).persist()
+    points = [{"maxDepth": 4, "minInstancesPerNode": 2}]
+    got = T.search(d, FEATS, "y", "Decision Tree", points, k=2, repeats=1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(G, "MAX_DEPTH", 0)
+        want = T.search(d, FEATS, "y", "Decision Tree", points, k=2, repeats=1)
+    assert got.cv_neg_mse == pytest.approx(want.cv_neg_mse, rel=1e-9)
