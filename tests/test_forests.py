@@ -90,6 +90,19 @@ def test_rows_are_drawn_once_on_average_and_equal_rows_apart():
             assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.02)
 
 
+def test_a_search_of_forests_makes_one_fit_and_scores_as_well_as_spark(spark, frame, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+    plain, fitted = RandomForestRegressor.fit, []
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda *a, **o: fitted.append(1) or plain(*a, **o))
+    points = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (20, 40) for d in (2, 5) for m in (1, 30)]
+    got = T.search(frame, FEATS, "y", "Random Forest", points, k=3, repeats=1)
+    assert len(fitted) == 1 and got.fits == 6
+    monkeypatch.setattr(G, "MAX_DEPTH", 0)  # Spark's own fit for each fold
+    want = T.search(frame, FEATS, "y", "Random Forest", points, k=3, repeats=1)
+    for (p, x), (_, y) in zip(got.points, want.points):
+        assert x == pytest.approx(y, rel=0.15), p
+
+
 def test_elimination_fits_no_forest_of_sparks_and_keeps_the_features_that_matter(spark, frame, monkeypatch):
     from pyspark.ml.regression import RandomForestRegressor
     d = frame.withColumn("one", F.lit(1)).select("row_id", *FEATS, "one", "y")
