@@ -94,6 +94,7 @@ def test_a_search_of_forests_makes_one_fit_and_scores_as_well_as_spark(spark, fr
     from pyspark.ml.regression import RandomForestRegressor
     plain, fitted = RandomForestRegressor.fit, []
     monkeypatch.setattr(RandomForestRegressor, "fit", lambda *a, **o: fitted.append(1) or plain(*a, **o))
+    monkeypatch.setattr(T, "SPARK_ROWS", 0)
     points = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": m} for n in (20, 40) for d in (2, 5) for m in (1, 30)]
     got = T.search(frame, FEATS, "y", "Random Forest", points, k=3, repeats=1)
     assert len(fitted) == 1 and got.fits == 6
@@ -108,9 +109,11 @@ def test_elimination_fits_no_forest_of_sparks_and_keeps_the_features_that_matter
     d = frame.withColumn("one", F.lit(1)).select("row_id", *FEATS, "one", "y")
     with monkeypatch.context() as m:
         m.setattr(RandomForestRegressor, "fit", None)
+        m.setattr(T, "SPARK_ROWS", 0)
         got = T.recursive_elimination(d, [*FEATS, "one"], "y", keep=2, num_trees=30)
         twice = T.recursive_elimination(d.repartition(3), [*FEATS, "one"], "y", keep=2, num_trees=30)
     assert got == [("one", 4), ("c", 3), ("a", 0), ("b", 0)] == twice
+    assert T.recursive_elimination(d, [*FEATS, "one"], "y", keep=2, num_trees=30)[0] == ("one", 4)  # few rows: by Spark's
     assert T.recursive_elimination(d, FEATS, "y", keep=3) == [("a", 0), ("b", 0), ("c", 0)]
     with pytest.raises(Exception):
         T.recursive_elimination(d.withColumn("a", F.when(F.col("row_id") > 5, F.col("a"))), FEATS, "y", keep=2)
